@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, media, mixing, quality, sharding, toxicity
+from quarry.llm import chat, media, mixing, neardup, quality, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=4).drop("n_links")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
@@ -35,9 +39,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_sharding, op5_chat_formatting, op6_source_mixing, op7_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op5_chat_formatting, op6_source_mixing, op7_media_columns, op10_toxicity)}
 
 ORACLES = {
+    "op2_near_dedup": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+3], ' ') END AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        df AS (SELECT g, count(*) AS f FROM s GROUP BY g),
+        p AS (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY df.f, s.g) AS r FROM s JOIN df USING (g) JOIN n USING (doc_id)),
+        pre AS (SELECT doc_id, g, n FROM p WHERE r <= n - ceil(0.8 * n) + 1),
+        cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre AS a JOIN pre AS b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        inter AS (SELECT c.a, c.b, count(*) AS i FROM cand AS c JOIN s AS x ON x.doc_id = c.a JOIN s AS y ON y.doc_id = c.b AND y.g = x.g GROUP BY c.a, c.b),
+        links AS (SELECT a, b FROM inter JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+        e AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
+        r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+        c AS (SELECT u, min(v) AS c FROM r GROUP BY u)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
+        FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id
+    """,
     "op5_chat_formatting": """
         WITH base AS (SELECT conv_id, turn, coalesce(lower(trim(role)), 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
         c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn ASC NULLS FIRST, role, text) AS turns FROM base GROUP BY conv_id),
