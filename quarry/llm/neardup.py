@@ -27,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.batches import map_texts, utf8
-from quarry.llm.shared import bound_batches, components, stage
+from quarry.llm.shared import bound_batches, crowded, link_buckets, stage
 
 U = np.uint64
 #: Fixed odd 64-bit multipliers.
@@ -179,42 +178,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     node = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("u"))
     nodes = stage(node, "neardup-nodes")
 
-    # buckets with two members or more; mates: how many members a node meets in all its buckets
-    entries = nodes.select("u", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    entries = stage(entries.join(full, "bucket"), "neardup-buckets")
-    mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
-    entries = stage(entries.select("bucket", "u", "n").join(mates, "u"), "neardup-entries")
+    entries = crowded(nodes.select("u", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "neardup")
+    mates = entries.select("u").distinct()
     packed = stage(sets(docs.join(mates.select(F.col("u").alias("doc_id")), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("packed").alias("packed")), "neardup-sets")
 
-    links = roots = None
-    hubs = 1
-    while True:
-        # the next hubs of each bucket, by a bounded top-k that is combined before the shuffle
-        left = entries.where("not spent") if "spent" in entries.columns else entries
-        rank = F.struct(F.col("mates"), (-F.col("u")).alias("v"), F.col("n"), *([F.col("root")] if roots is not None else []))
-        if hubs == 1:
-            top = left.groupBy("bucket").agg(F.max(rank).alias("hub"))
-        else:
-            w = Window.partitionBy("bucket").orderBy(F.desc("mates"), "u")
-            top = left.withColumn("k", F.row_number().over(w)).where(F.col("k") <= hubs).select("bucket", rank.alias("hub"))
-        top = top.select("bucket", (-F.col("hub.v")).alias("h"), F.col("hub.n").alias("hn"), *([F.col("hub.root").alias("hroot")] if roots is not None else []))
-        near = (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("u") != F.col("h"))
-        if roots is not None:
-            near = near & (F.col("root") != F.col("hroot"))
-        pairs = entries.join(top, "bucket").where(near).select(F.greatest("u", "h").alias("u"), F.least("u", "h").alias("v")).distinct()
-        found = stage(verify(pairs, packed, percent), "neardup-links")
-        links = found if links is None else links.union(found)
-        roots = stage(components(links, "neardup-cc"), "neardup-roots")
-        # drop buckets that are done: one component, or no member left that wasn't a hub
-        was_hub = top.select("bucket", F.col("h").alias("u"), F.lit(True).alias("hub_now"))
-        state = entries.drop("root").join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u")).join(was_hub, ["bucket", "u"], "left")
-        state = state.withColumn("spent", F.coalesce("hub_now", F.lit(False)) | (F.col("spent") if "spent" in entries.columns else F.lit(False))).drop("hub_now")
-        open_ = state.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("spent")).alias("fresh"), F.count("*").alias("all")).where("a <> b and fresh > 0 and (fresh > 1 or all > fresh)")
-        entries = stage(state.join(open_.select("bucket"), "bucket", "left_semi"), "neardup-entries")
-        if entries.isEmpty():
-            break
-        hubs = min(hubs * 2, 64)
+    links, roots = link_buckets(entries, lambda pairs: verify(pairs, packed, percent), percent, "neardup")
     label = nodes.select("set_a", "set_b", "n_shingles", "u").join(roots.withColumnRenamed("node", "u"), "u", "left")
     degree = links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
     label = label.join(degree, "u", "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "u").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

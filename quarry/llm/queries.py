@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, media, mixing, neardup, quality, sharding, toxicity
+from quarry.llm import chat, linededup, media, mixing, neardup, quality, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,15 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_decisions(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op5_chat_formatting, op6_source_mixing, op7_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op5_chat_formatting, op6_source_mixing, op7_media_columns, op9_line_dedup, op10_toxicity)}
 
 ORACLES = {
     "op2_near_dedup": """

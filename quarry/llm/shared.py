@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,3 +61,46 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         mark = now
+
+
+def crowded(entries: DataFrame, name: str) -> DataFrame:
+    """Of entries (bucket, u, n) those in buckets with two members or more; adds mates, the members a node meets in all its buckets."""
+    full = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    entries = stage(entries.join(full, "bucket"), f"{name}-buckets")
+    mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
+    return stage(entries.select("bucket", "u", "n").join(mates, "u"), f"{name}-entries")
+
+
+def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """All components of the nodes that share buckets, comparing each bucket's members with few hubs instead of each other.
+
+    entries: bucket, u, n (set size; pairs whose sizes alone rule out `percent` are skipped), mates. verify keeps the
+    similar ones of distinct pairs (u, v), u > v. Each round the fresh members with most mates become hubs (1, then 2, 4,
+    ... a bucket) and all members in other components are compared with them; verified links are merged by union-find.
+    A bucket is done when its members share one component or at most one member has not been a hub, so every two members
+    of a bucket end in one component or were compared. Returns the links (u, v) and the components (node, root).
+    """
+    entries = entries.withColumn("root", F.col("u")).withColumn("spent", F.lit(False))
+    links, roots, hubs = None, None, 1
+    while True:
+        rank = F.struct("mates", (-F.col("u")).alias("minus"), "n", "root")
+        fresh = entries.where("not spent")
+        if hubs == 1:
+            top = fresh.groupBy("bucket").agg(F.max(rank).alias("hub"))
+        else:
+            order = Window.partitionBy("bucket").orderBy(F.desc("mates"), "u")
+            top = fresh.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs).select("bucket", rank.alias("hub"))
+        top = top.select("bucket", (-F.col("hub.minus")).alias("h"), F.col("hub.n").alias("hn"), F.col("hub.root").alias("hroot"))
+        near = (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("root") != F.col("hroot"))
+        pairs = entries.join(top, "bucket").where(near).select(F.greatest("u", "h").alias("u"), F.least("u", "h").alias("v")).distinct()
+        found = stage(verify(pairs), f"{name}-links")
+        links = found if links is None else links.union(found)
+        roots = stage(components(links, f"{name}-cc"), f"{name}-roots")
+        hub = top.select("bucket", F.col("h").alias("u"), F.lit(True).alias("now"))
+        state = entries.drop("root").join(roots.withColumnRenamed("node", "u"), "u", "left").join(hub, ["bucket", "u"], "left")
+        state = state.withColumn("root", F.coalesce("root", "u")).withColumn("spent", F.col("spent") | F.coalesce("now", F.lit(False))).drop("now")
+        open_ = state.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("spent")).alias("fresh")).where("a <> b and fresh > 1")
+        entries = stage(state.join(open_.select("bucket"), "bucket", "left_semi"), f"{name}-entries")
+        if entries.isEmpty():
+            return links, roots
+        hubs = min(hubs * 2, 64)
