@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, linededup, media, mixing, neardup, quality, sharding, toxicity
+from quarry.llm import chat, html, linededup, media, mixing, neardup, quality, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op5_chat_formatting, op6_source_mixing, op7_media_columns, op9_line_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_media_columns, op9_line_dedup, op10_toxicity)}
 
 ORACLES = {
     "op2_near_dedup": """

@@ -94,8 +94,9 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], p
         near = (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("root") != F.col("hroot"))
         pairs = entries.join(top, "bucket").where(near).select(F.greatest("u", "h").alias("u"), F.least("u", "h").alias("v")).distinct()
         found = stage(verify(pairs), f"{name}-links")
-        links = found if links is None else links.union(found)
-        roots = stage(components(links, f"{name}-cc"), f"{name}-roots")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = stage(components(links, f"{name}-cc"), f"{name}-roots")
         hub = top.select("bucket", F.col("h").alias("u"), F.lit(True).alias("now"))
         state = entries.drop("root").join(roots.withColumnRenamed("node", "u"), "u", "left").join(hub, ["bucket", "u"], "left")
         state = state.withColumn("root", F.coalesce("root", "u")).withColumn("spent", F.col("spent") | F.coalesce("now", F.lit(False))).drop("now")
