@@ -1,10 +1,67 @@
-"""The corpus pipeline; its stages follow as their operators are finished."""
+"""The corpus pipeline: five stages over `documents`, each reading all that its predecessor kept.
+
+quality rules -> line dedup -> near-duplicate removal -> mixing sources to target weights -> SentencePiece ids.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. SQL cannot express the
+stages (trained model, hashed order, tokenizer), so there is no ORACLE_SQL and tests compare with brute force.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import linededup, mixing, neardup, quality, sentencepiece
+from quarry.llm.shared import stage
+
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the perplexity bands reject go. Rows are matched by id (null too) and text."""
+    kept = quality.quality(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64("text") == kept["_hash"]), "left_semi")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of similar lines, only the first in the corpus stays; documents stay, with what is left of their text."""
+    return linededup.dedup_text(docs).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least id. Repeated rows become one."""
+    found = neardup.near_duplicates(docs, words=5, percent=80)
+    kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rest = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return rest.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, once for each time it reads them (whole, also where it stops within one); others go."""
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"), F.col("text_hash").alias("_hash"))
+    taken = taken.groupBy("_id", "_hash").agg(F.max("_times").alias("_times"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64("text") == taken["_hash"]))
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and whether decoding gives the text again."""
+    return sentencepiece.encode(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("source mixing", source_mixing),
+    ("sentencepiece", sentencepiece_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written to the shared folder and read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, f) in enumerate(STAGES):
+        docs = f(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{name.replace(' ', '-')}")
+    return docs

@@ -106,7 +106,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = 3, block: int = 2048, seed: int = 42) -> DataFrame:
-    """Every document with size, source_size, target, taken (its words in the mix, repeats counted) and first_slot (null: not taken)."""
+    """Every document with size, source_size, target, taken (its words in the mix, repeats counted), first_slot (null: not taken) and a hash of the text."""
     rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "mix-docs")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = stage(targets(sizes, weights, repeat), "mix-sources")
@@ -127,4 +127,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = 3, bl
         .agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     )
     out = laid.join(taken.withColumnRenamed("s", "_s").withColumnRenamed("first", "_first"), (F.col("s") == F.col("_s")) & (F.col("first") == F.col("_first")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "text_hash")

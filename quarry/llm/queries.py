@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, html, linededup, media, mixing, neardup, quality, sharding, toxicity
+from quarry.llm import chat, html, linededup, media, mixing, neardup, quality, sentencepiece, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_decisions(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_media_columns, op9_line_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_media_columns, op8_sentencepiece, op9_line_dedup, op10_toxicity)}
 
 ORACLES = {
     "op2_near_dedup": """
