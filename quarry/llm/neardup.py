@@ -23,13 +23,15 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import map_texts, utf8
-from quarry.llm.shared import bound_batches, crowded, link_buckets, stage
+from quarry.llm.shared import bound_batches, crowded, link_buckets, relabel, stage
 
 U = np.uint64
 #: Fixed odd 64-bit multipliers.
@@ -143,31 +145,21 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar enough by their full sets."""
-    left = packed.select(F.col("doc_id").alias("u"), F.col("packed").alias("text"))
-    right = packed.select(F.col("doc_id").alias("v"), F.col("packed").alias("other"))
-
-    def f(part: pa.RecordBatch) -> dict:
-        ok = []
-        for a, b in zip(part.column("text"), part.column("other"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        return {"linked": ok}
-
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "text", "other")
-    return map_texts_pair(joined, f).where("linked").select("u", "v")
-
-
-def map_texts_pair(joined: DataFrame, f) -> DataFrame:
-    """f over Arrow batches of (u, v, text, other)."""
+    """The rows of pairs (u, v and other longs) that are similar enough by their full sets."""
+    names = pairs.columns
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(f(b)["linked"], pa.bool_())], ["u", "v", "linked"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(run, "u long, v long, linked boolean")
+    joined = pairs.join(packed.select(F.col("doc_id").alias("u"), F.col("packed").alias("a")), "u")
+    joined = joined.join(packed.select(F.col("doc_id").alias("v"), F.col("packed").alias("b")), "v")
+    return joined.select(*names, "a", "b").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -182,9 +174,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     mates = entries.select("u").distinct()
     packed = stage(sets(docs.join(mates.select(F.col("u").alias("doc_id")), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("packed").alias("packed")), "neardup-sets")
 
-    links, roots = link_buckets(entries, lambda pairs: verify(pairs, packed, percent), percent, "neardup")
-    label = nodes.select("set_a", "set_b", "n_shingles", "u").join(roots.withColumnRenamed("node", "u"), "u", "left")
+    links, merges = link_buckets(entries, lambda pairs: verify(pairs, packed, percent), percent, "neardup")
+    label = relabel(nodes.select("set_a", "set_b", "n_shingles", "u"), merges)
     degree = links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
-    label = label.join(degree, "u", "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "u").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    label = label.join(degree, "u", "left").select("set_a", "set_b", "n_shingles", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.drop("bands").join(label, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -71,17 +71,18 @@ def crowded(entries: DataFrame, name: str) -> DataFrame:
     return stage(entries.select("bucket", "u", "n").join(mates, "u"), f"{name}-entries")
 
 
-def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, name: str, growth: int = 8) -> tuple[DataFrame, list[DataFrame]]:
     """All components of the nodes that share buckets, comparing each bucket's members with few hubs instead of each other.
 
-    entries: bucket, u, n (set size; pairs whose sizes alone rule out `percent` are skipped), mates. verify keeps the
-    similar ones of distinct pairs (u, v), u > v. Each round the fresh members with most mates become hubs (1, then 2, 4,
-    ... a bucket) and all members in other components are compared with them; verified links are merged by union-find.
-    A bucket is done when its members share one component or at most one member has not been a hub, so every two members
-    of a bucket end in one component or were compared. Returns the links (u, v) and the components (node, root).
+    entries: bucket, u, n (set size; pairs whose sizes alone rule out `percent` are skipped), mates. verify gets distinct
+    pairs (u, v, ru, rv) and keeps the similar ones. Each round the fresh members with most mates become hubs (1 a bucket,
+    then `growth` times as many) and all members in other components are compared with them; the components that verified
+    links join are merged by union-find. A bucket is done when its members share one component or at most one member has
+    not been a hub, so every two members of a bucket end in one component or were compared, in log(size) rounds.
+    Returns the links and the merges (node, root) of each round, to be applied in order by `relabel`.
     """
     entries = entries.withColumn("root", F.col("u")).withColumn("spent", F.lit(False))
-    links, roots, hubs = None, None, 1
+    links, merges, hubs = [], [], 1
     while True:
         rank = F.struct("mates", (-F.col("u")).alias("minus"), "n", "root")
         fresh = entries.where("not spent")
@@ -92,16 +93,28 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], p
             top = fresh.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs).select("bucket", rank.alias("hub"))
         top = top.select("bucket", (-F.col("hub.minus")).alias("h"), F.col("hub.n").alias("hn"), F.col("hub.root").alias("hroot"))
         near = (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("root") != F.col("hroot"))
-        pairs = entries.join(top, "bucket").where(near).select(F.greatest("u", "h").alias("u"), F.least("u", "h").alias("v")).distinct()
+        first = F.col("u") > F.col("h")
+        ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("u", "h", "u"), ("h", "u", "v"), ("root", "hroot", "ru"), ("hroot", "root", "rv"))]
+        pairs = entries.join(top, "bucket").where(near).select(*ends).distinct()
         found = stage(verify(pairs), f"{name}-links")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = stage(components(links, f"{name}-cc"), f"{name}-roots")
-        hub = top.select("bucket", F.col("h").alias("u"), F.lit(True).alias("now"))
-        state = entries.drop("root").join(roots.withColumnRenamed("node", "u"), "u", "left").join(hub, ["bucket", "u"], "left")
-        state = state.withColumn("root", F.coalesce("root", "u")).withColumn("spent", F.col("spent") | F.coalesce("now", F.lit(False))).drop("now")
-        open_ = state.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("spent")).alias("fresh")).where("a <> b and fresh > 1")
-        entries = stage(state.join(open_.select("bucket"), "bucket", "left_semi"), f"{name}-entries")
+        root, spent = F.col("root"), F.col("spent") | F.col("now").isNotNull()
+        state = entries.join(top.select("bucket", F.col("h").alias("u"), F.lit(True).alias("now")), ["bucket", "u"], "left")
+        if not links or not found.isEmpty():
+            links.append(found)
+            merges.append(stage(components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")), f"{name}-cc"), f"{name}-merges"))
+            state = state.join(merges[-1].select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            root = F.coalesce("to", "root")
+        state = state.select("bucket", "u", "n", "mates", root.alias("root"), spent.alias("spent"))
+        done = state.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("spent")).alias("fresh")).where("a <> b and fresh > 1")
+        entries = stage(state.join(done.select("bucket"), "bucket", "left_semi"), f"{name}-entries")
         if entries.isEmpty():
-            return links, roots
-        hubs = min(hubs * 2, 64)
+            return links[0].sparkSession.read.parquet(*(p for x in links for p in x.inputFiles())) if len(links) > 1 else links[0], merges
+        hubs *= growth
+
+
+def relabel(nodes: DataFrame, merges: list[DataFrame]) -> DataFrame:
+    """Adds root to nodes (u): u itself where nothing was linked."""
+    out = nodes.withColumn("root", F.col("u"))
+    for m in merges:
+        out = out.join(m.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+    return out
