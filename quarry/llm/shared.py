@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,13 +51,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = None
     while True:
+        seen = Observation()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = stage(small, name)
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        edges = stage(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), name)
+        now = seen.get
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         mark = now
@@ -65,8 +66,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def crowded(entries: DataFrame, name: str) -> DataFrame:
     """Of entries (bucket, u, n) those in buckets with two members or more; adds mates, the members a node meets in all its buckets."""
-    full = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    entries = stage(entries.join(full, "bucket"), f"{name}-buckets")
+    members = F.count("*").over(Window.partitionBy("bucket"))
+    entries = stage(entries.withColumn("members", members).where("members > 1"), f"{name}-buckets")
     mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
     return stage(entries.select("bucket", "u", "n").join(mates, "u"), f"{name}-entries")
 
