@@ -116,7 +116,7 @@ def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, and the bucket keys of its bands (empty for an empty set)."""
+    """doc_id, n_shingles, two hashes of the whole set, the bucket keys of its bands and 4 bits of each position (empty for an empty set)."""
 
     def f(part: pa.RecordBatch) -> dict:
         h, sizes = shingles(part.column("text"), words)
@@ -127,10 +127,13 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         ends = np.cumsum(sizes)
         total = lambda v: np.diff(np.append(U(0), np.add.accumulate(v))[np.append(0, ends)])
         some = sizes > 0
-        flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * bands)).astype(np.int32)), pa.array(key[some].reshape(-1).view(np.int64)))
-        return {"n_shingles": sizes, "set_a": total(mix(h + U(1))).view(np.int64), "set_b": total(mix(h ^ STEP)).view(np.int64), "bands": flat}
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * x.shape[1])).astype(np.int32)), pa.array(x[some].reshape(-1).view(np.int64)))
+        nibbles = np.zeros((len(sizes), -(-bands * rows // 16) * 16), np.uint8)
+        nibbles[:, : bands * rows] = (sig.reshape(len(sizes), -1) & U(15)).astype(np.uint8)
+        short = np.ascontiguousarray(nibbles[:, ::2] << 4 | nibbles[:, 1::2]).view(np.int64)
+        return {"n_shingles": sizes, "set_a": total(mix(h + U(1))).view(np.int64), "set_b": total(mix(h ^ STEP)).view(np.int64), "bands": lists(key), "short": lists(short)}
 
-    return map_texts(docs, f, "n_shingles long, set_a long, set_b long, bands array<long>", ["doc_id"], limit=2 << 20)
+    return map_texts(docs, f, "n_shingles long, set_a long, set_b long, bands array<long>, short array<long>", ["doc_id"], limit=2 << 20)
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
@@ -162,21 +165,25 @@ def verify(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     return joined.select(*names, "a", "b").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the least id reachable over links), kept, n_links (links found from its set's node)."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, slack: float = 0.14) -> DataFrame:
+    """Pairs whose signatures agree in a share of positions under percent / 100 - slack (over three deviations) are not verified.
+
+    Per row of docs: doc_id, n_shingles, component_id (the least id reachable over links), kept, n_links (links found from its set's node)."""
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stage(sign(docs, words, bands, rows), "neardup-signed")
-    node = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("u"))
+    node = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "short")).alias("least"))
+    node = node.select("set_a", "set_b", "n_shingles", F.col("least.doc_id").alias("u"), "least.bands", "least.short")
     nodes = stage(node, "neardup-nodes")
 
-    entries = crowded(nodes.select("u", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "neardup")
+    entries = crowded(nodes.select("u", F.col("n_shingles").alias("n"), *(F.col("short")[i].alias(f"s{i}") for i in range(-(-bands * rows // 16))), F.explode("bands").alias("bucket")), "neardup")
     mates = entries.select("u").distinct()
     packed = stage(sets(docs.join(mates.select(F.col("u").alias("doc_id")), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("packed").alias("packed")), "neardup-sets")
 
-    links, merges = link_buckets(entries, lambda pairs: verify(pairs, packed, percent), percent, "neardup")
+    least = int((percent / 100 - slack) * bands * rows)
+    links, merges = link_buckets(entries, lambda pairs: verify(pairs, packed, percent), percent, least, "neardup")
     label = relabel(nodes.select("set_a", "set_b", "n_shingles", "u"), merges)
     degree = links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
     label = label.join(degree, "u", "left").select("set_a", "set_b", "n_shingles", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.drop("bands").join(label, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    out = signed.drop("bands", "short").join(label, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

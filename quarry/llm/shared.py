@@ -64,53 +64,86 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = now
 
 
+NIBBLES = 0x1111111111111111
+
+
+def packed_matches(a: list[Column], b: list[Column], spare: int = 0) -> Column:
+    """How many 4-bit values agree in two lists of longs of 16 values each; `spare` values at the end are unused (and equal)."""
+    total = F.lit(-spare)
+    for x, y in zip(a, b, strict=True):
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(NIBBLES))
+        total = total + 16 - F.bit_count(d)
+    return total
+
+
 def crowded(entries: DataFrame, name: str) -> DataFrame:
-    """Of entries (bucket, u, n) those in buckets with two members or more; adds mates, the members a node meets in all its buckets."""
+    """Of entries (bucket, u, ...) those in buckets with two members or more; adds mates, the members a node meets in all its buckets."""
+    kept = entries.columns
     members = F.count("*").over(Window.partitionBy("bucket"))
     entries = stage(entries.withColumn("members", members).where("members > 1"), f"{name}-buckets")
     mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
-    return stage(entries.select("bucket", "u", "n").join(mates, "u"), f"{name}-entries")
+    return stage(entries.select(*kept).join(mates, "u"), f"{name}-entries")
 
 
-def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, name: str, growth: int = 8) -> tuple[DataFrame, list[DataFrame]]:
+def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, least: int, name: str, most: int = 128) -> tuple[DataFrame, list[DataFrame]]:
     """All components of the nodes that share buckets, comparing each bucket's members with few hubs instead of each other.
 
-    entries: bucket, u, n (set size; pairs whose sizes alone rule out `percent` are skipped), mates. verify gets distinct
-    pairs (u, v, ru, rv) and keeps the similar ones. Each round the fresh members with most mates become hubs (1 a bucket,
-    then `growth` times as many) and all members in other components are compared with them; the components that verified
-    links join are merged by union-find. A bucket is done when its members share one component or at most one member has
-    not been a hub, so every two members of a bucket end in one component or were compared, in log(size) rounds.
+    entries: bucket, u, n (set size; pairs whose sizes alone rule out `percent` are skipped), mates, and s0, s1, ... (the
+    signature, 4 bits a position); pairs that agree in fewer than `least` positions are skipped. verify gets distinct pairs
+    (u, v, ru, rv) and keeps the similar ones.
+
+    First every member is compared with the best of its buckets' top hubs (those with most mates), which joins groups of
+    copies by one pair a member. Then, round by round, fresh members become hubs (1 a bucket, then 8, 64, ... up to `most`)
+    and all members of other components are compared with them. A bucket is done when its members share one component or
+    at most one member has not been a hub, so every two members of a bucket end in one component or were compared. Hubs
+    travel as one bounded list a bucket, so joins yield a row a member, and only pairs that may be similar are made.
     Returns the links and the merges (node, root) of each round, to be applied in order by `relabel`.
     """
+    sig = [c for c in entries.columns if c[0] == "s" and c[1:].isdigit()]
     entries = entries.withColumn("root", F.col("u")).withColumn("spent", F.lit(False))
-    links, merges, hubs = [], [], 1
+    links, merges, hubs = [], [], 0
     while True:
-        rank = F.struct("mates", (-F.col("u")).alias("minus"), "n", "root")
+        hub = F.struct("mates", (-F.col("u")).alias("minus"), "n", "root", *sig)
         fresh = entries.where("not spent")
-        if hubs == 1:
-            top = fresh.groupBy("bucket").agg(F.max(rank).alias("hub"))
+        if hubs <= 1:
+            top = fresh.groupBy("bucket").agg(F.array(F.max(hub)).alias("hubs"))
         else:
             order = Window.partitionBy("bucket").orderBy(F.desc("mates"), "u")
-            top = fresh.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs).select("bucket", rank.alias("hub"))
-        top = top.select("bucket", (-F.col("hub.minus")).alias("h"), F.col("hub.n").alias("hn"), F.col("hub.root").alias("hroot"))
-        near = (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("root") != F.col("hroot"))
-        first = F.col("u") > F.col("h")
-        ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("u", "h", "u"), ("h", "u", "v"), ("root", "hroot", "ru"), ("hroot", "root", "rv"))]
-        pairs = entries.join(top, "bucket").where(near).select(*ends).distinct()
+            top = fresh.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs).groupBy("bucket").agg(F.collect_list(hub).alias("hubs"))
+
+        def near(h: Column) -> Column:
+            sizes = 100 * F.least(F.col("n"), h["n"]) >= percent * F.greatest(F.col("n"), h["n"])
+            return (F.col("root") != h["root"]) & sizes & (packed_matches([F.col(c) for c in sig], [h[c] for c in sig]) >= least)
+
+        met = entries.join(top, "bucket").select("u", "root", *sig, F.explode(F.filter("hubs", near)).alias("hub"))
+        h, first = -F.col("hub.minus"), F.col("u") > -F.col("hub.minus")
+        either = lambda x, y, z: F.when(first, x).otherwise(y).alias(z)
+        ends = [either(F.col("u"), h, "u"), either(h, F.col("u"), "v"), either(F.col("root"), F.col("hub.root"), "ru"), either(F.col("hub.root"), F.col("root"), "rv")]
+        if hubs == 0:
+            alike = packed_matches([F.col(c) for c in sig], [F.col(f"hub.{c}") for c in sig])
+            best = met.groupBy("u", "root").agg(F.max(F.struct(alike.alias("alike"), "hub.mates", "hub.minus", "hub.root")).alias("hub"))
+            pairs = best.select(*ends).distinct()
+        else:
+            pairs = met.select(*ends).distinct()
         found = stage(verify(pairs), f"{name}-links")
-        root, spent = F.col("root"), F.col("spent") | F.col("now").isNotNull()
-        state = entries.join(top.select("bucket", F.col("h").alias("u"), F.lit(True).alias("now")), ["bucket", "u"], "left")
+        state = entries
+        spent, root = F.col("spent"), F.col("root")
+        if hubs:
+            now = top.select("bucket", F.explode("hubs").alias("x")).select("bucket", (-F.col("x.minus")).alias("u"), F.lit(True).alias("now"))
+            state, spent = entries.join(now, ["bucket", "u"], "left"), F.col("spent") | F.col("now").isNotNull()
         if not links or not found.isEmpty():
             links.append(found)
             merges.append(stage(components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")), f"{name}-cc"), f"{name}-merges"))
             state = state.join(merges[-1].select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
             root = F.coalesce("to", "root")
-        state = state.select("bucket", "u", "n", "mates", root.alias("root"), spent.alias("spent"))
-        done = state.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("spent")).alias("fresh")).where("a <> b and fresh > 1")
-        entries = stage(state.join(done.select("bucket"), "bucket", "left_semi"), f"{name}-entries")
+        state = state.select("bucket", "u", "n", "mates", *sig, root.alias("root"), spent.alias("spent"))
+        open_ = state.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("spent")).alias("fresh")).where("a <> b and fresh > 1")
+        entries = stage(state.join(open_.select("bucket"), "bucket", "left_semi"), f"{name}-entries")
         if entries.isEmpty():
             return links[0].sparkSession.read.parquet(*(p for x in links for p in x.inputFiles())) if len(links) > 1 else links[0], merges
-        hubs *= growth
+        hubs = min(max(1, hubs * 8), most)
 
 
 def relabel(nodes: DataFrame, merges: list[DataFrame]) -> DataFrame:
