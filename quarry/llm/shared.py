@@ -87,7 +87,7 @@ def crowded(entries: DataFrame, name: str) -> DataFrame:
     return stage(entries.select(*kept).join(mates, "u"), f"{name}-entries")
 
 
-def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, least: int, name: str, most: int = 128) -> tuple[DataFrame, list[DataFrame]]:
+def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, least: int, name: str, most: int = 512) -> tuple[DataFrame, list[DataFrame]]:
     """All components of the nodes that share buckets, comparing each bucket's members with few hubs instead of each other.
 
     entries: bucket, u, n (set size; pairs whose sizes alone rule out `percent` are skipped), mates, and s0, s1, ... (the
@@ -102,11 +102,11 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     Returns the links and the merges (node, root) of each round, to be applied in order by `relabel`.
     """
     sig = [c for c in entries.columns if c[0] == "s" and c[1:].isdigit()]
-    entries = entries.withColumn("root", F.col("u")).withColumn("spent", F.lit(False))
+    entries = entries.withColumn("root", F.col("u")).withColumn("spent", F.lit(False)).withColumn("minor", F.lit(True))
     links, merges, hubs = [], [], 0
     while True:
         hub = F.struct("mates", (-F.col("u")).alias("minus"), "n", "root", *sig)
-        fresh = entries.where("not spent")
+        fresh = entries.where("minor and not spent")
         if hubs <= 1:
             top = fresh.groupBy("bucket").agg(F.array(F.max(hub)).alias("hubs"))
         else:
@@ -139,8 +139,11 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], p
             state = state.join(merges[-1].select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
             root = F.coalesce("to", "root")
         state = state.select("bucket", "u", "n", "mates", *sig, root.alias("root"), spent.alias("spent"))
-        open_ = state.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("spent")).alias("fresh")).where("a <> b and fresh > 1")
-        entries = stage(state.join(open_.select("bucket"), "bucket", "left_semi"), f"{name}-entries")
+        # a bucket's largest component needs no hubs of its own: members outside it are compared with all others
+        parts = state.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.count_if(~F.col("spent")).alias("fresh"))
+        parts = parts.groupBy("bucket").agg(F.max(F.struct("c", "root", "fresh")).alias("most"), F.sum("fresh").alias("fresh"), F.count("*").alias("roots"))
+        open_ = parts.where("roots > 1 and fresh > most.fresh").select("bucket", F.col("most.root").alias("major"))
+        entries = stage(state.join(open_, "bucket").withColumn("minor", F.col("root") != F.col("major")).drop("major"), f"{name}-entries")
         if entries.isEmpty():
             return links[0].sparkSession.read.parquet(*(p for x in links for p in x.inputFiles())) if len(links) > 1 else links[0], merges
         hubs = min(max(1, hubs * 8), most)
