@@ -177,7 +177,7 @@ def cooccurrence_strength(spark, d):
     n = o.join(o.withColumnRenamed("a", "b"), "doc").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
     known = n.where("a like 'A%' and b like 'B%'").select("a", "b")
     band = F.when(F.col("n") >= 5, 0.8).when(F.col("n") >= 3, 0.6).when(F.col("n") == 2, 0.5).otherwise(0.3)
-    return n.join(known, ["a", "b"], "left_anti").select("a", "b", "n", band.alias("strength"))
+    return n.join(known, ["a", "b"], "left_anti").select("a", "b", "n", band.cast("decimal(2,1)").alias("strength"))
 
 
 @query("entity_merge", "SELECT p_brand AS name, mode_type AS type, longest, aliases FROM (SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS aliases FROM part GROUP BY p_brand) JOIN (SELECT p_brand, p_type AS mode_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY p_brand, p_type) WHERE r = 1) USING (p_brand) JOIN (SELECT p_brand, p_name AS longest FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_name) AS r FROM part) WHERE r = 1) USING (p_brand)")
