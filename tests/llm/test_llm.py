@@ -303,6 +303,18 @@ def test_line_dedup_matches_brute_force(docs):
     assert got == {i: sorted(p) for i, p in want.items()}
 
 
+def test_line_dedup_links_lines_without_spaces(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(20):
+        line = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(500))
+        at = rng.randrange(8)
+        rows += [(2 * k, line, "zh", "s", 500), (2 * k + 1, line[:at] + "x" + line[at + 1 :], "zh", "s", 500)]
+        want |= {2 * k: [0], 2 * k + 1: []}
+    got = {r["doc_id"]: list(r["kept_lines"]) for r in linededup.line_decisions(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def test_line_dedup_text(odd):
     out = linededup.dedup_text(odd)
     assert out.columns == odd.columns
