@@ -180,6 +180,25 @@ def test_html_query_reads_every_page(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_drops_only_what_all_pages_share(spark):
+    ids = spark.range(30).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), F.col("id").cast("string")).alias("url"))
+    sampled = [r["page_id"] for r in ids.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(8).collect()]
+    rows, want = [], {}
+    for i in range(30):
+        kicker = "News" if i in sampled else f"Kicker {i}"
+        rows.append((i, f"http://a/{i}", f"<body><div>Site name</div><section><h2>{kicker}</h2><h1>Title {i}</h1><p>Text {i} <p>More {i}</section></body>"))
+        want[i] = f"{kicker}\nTitle {i}\nText {i}\nMore {i}"
+        rows.append((100 + i, f"http://b/{i}", f"<body><section><h1>One article</h1><div>only paragraph</div></section><footer>{i}</footer></body>"))
+        want[100 + i] = "One article\nonly paragraph"
+        rows.append((200 + i, f"http://c/{i}", f"<article><h1>Same</h1><p>Text {i}</article>"))
+        want[200 + i] = f"Same\nText {i}"
+        rows.append((300 + i, f"http://d/{i}", f"<body><section><h4>All rights</h4><div>Text {i}</div></section></body>"))
+        want[300 + i] = f"Text {i}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()} == want
+    assert {r["page_id"]: r["text"] for r in html.extract_pages(pages, broadcast_bytes=0).collect()} == want
+
+
 def test_chat_collapse(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (4, 0, "user", "ho"), (5, None, None, None), (None, 0, "user", "hi"), (6, 0, "user", "ho"), (6, 0, "user", "hoho")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("clash")).withColumn("t", F.lit("clash"))
