@@ -172,6 +172,17 @@ def test_html_wrappers():
     assert html.main_text('<article><p>a<script>var x="</p>"</script><p>b &lt;<!-- c --></article><aside>no</aside>', None) == "a\nb <"
 
 
+def test_html_keeps_text_beside_the_largest_element(spark):
+    def page(n, a, b):
+        return f"<body><h1>Title {n}</h1><div class='a'><p>{f'first {n} ' * a}</div><div class='b'><p>{f'second {n} ' * b}</div><footer>Foot</footer></body>"
+
+    rows = [(n, f"http://a/{n}", page(n, 65, 35) if n < 20 else page(n, 1, 99)) for n in range(24)]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n, _, _ in rows:
+        a, b = (65, 35) if n < 20 else (1, 99)
+        assert got[n] == "\n".join([f"Title {n}", (f"first {n} " * a).strip(), (f"second {n} " * b).strip()])
+
+
 def test_html_query_reads_every_page(spark):
     pages = spark.createDataFrame([(1, "http://a/x", "<article><p>one</article>"), (1, "http://a/x", "<article><p>one</article>"), (2, None, None), (3, "::", "plain")], "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract_pages(pages).collect())
