@@ -112,15 +112,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         label = new
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """(id, component) of nodes in directed cycles; the component is its greatest id.
 
     Rounds of trimming (nodes without in- or out-edges leave) and colouring: the greatest id is spread forward, then
-    backward within its colour; what the backward pass reaches is a component and leaves the graph.
+    backward within its colour; what the backward pass reaches is a component and leaves the graph. Each round takes out
+    at least one component, and rounds go on until no edge is left.
     """
     edges = materialize(edges.select("src", "dst").where("src <> dst").distinct())
     found = []
-    for _ in range(max_rounds):
+    while True:
         while True:  # trim
             kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             kept = materialize(kept.select("src", "dst"))

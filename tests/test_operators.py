@@ -145,6 +145,15 @@ def test_components_match_brute_force(spark, edges):
     assert dict(rows(iterate.connected_components(df))) == {a: min(r | {a}) for a, r in both.items()}
 
 
+def test_strongly_connected_has_no_round_limit(spark, monkeypatch):
+    # greatest ids fall along the edges, so each round takes out one component; a loop over range(rounds) would end after two
+    monkeypatch.setattr(iterate, "range", lambda *a: range(min(a[0], 2)) if len(a) == 1 else range(*a), raising=False)
+    pairs = [(8, 7), (6, 5), (4, 3), (2, 1)]
+    edges = [e for a, b in pairs for e in ((a, b), (b, a))] + [(x[0], y[0]) for i, x in enumerate(pairs) for y in pairs[i + 1 :]]
+    got = dict(rows(iterate.strongly_connected(spark.createDataFrame(edges, "src long, dst long"))))
+    assert got == {x: a for a, b in pairs for x in (a, b)}
+
+
 def test_paths(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 5)], "src long, dst long")
     assert iterate.shortest_path(e, 1, 5, 4).first()["path"] == [1, 2, 3, 5]
