@@ -99,6 +99,17 @@ def test_quality_passes_give_the_same_result(docs):
     assert [(r[0], r[1], r[2] and round(r[2], 9)) for r in a] == [(r[0], r[1], r[2] and round(r[2], 9)) for r in b]
 
 
+def test_quality_judges_small_languages(spark):
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("bdklmnrst") + rng.choice("aeio") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(200)), ("en", "en-US", "en_GB")[i % 3], "s", 1) for i in range(40)]
+    rows += [(100, " ".join("".join(rng.choice("qxzjvwyhgfcp") for _ in range(5)) for _ in range(60)), "EN", "s", 1)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {r["lang"] for r in got.values()} == {"en"}
+    assert not got[100]["base_failed"] and not got[100]["kept"]
+    assert all(got[i]["kept"] for i in range(40))
+
+
 def test_near_duplicates_match_brute_force(spark, docs):
     base = [f"w{i}" for i in range(120)]
     extra = []
