@@ -69,7 +69,7 @@ def taint_paths(spark, d):
 @query("communities_modularity")
 def communities_modularity(spark, d):
     """Modularity communities of the undirected part graph; iterative, so tested by properties."""
-    e = part_edges(spark, d).where("src % 2 = 0 and dst % 2 = 0").withColumn("w", F.lit(1.0))
+    e = part_edges(spark, d).withColumn("w", F.lit(1.0))
     return iterate.louvain_pass(e, rounds=4)
 
 

@@ -66,7 +66,7 @@ def bfs_page_order(spark, d):
 @query("process_detection")
 def process_detection(spark, d):
     """Bounded simple paths from entry points; tested on a small graph."""
-    p = review.processes(part_edges(spark, d).where("src < dst and src <= 300 and dst <= 300"))
+    p = review.processes(part_edges(spark, d))
     return p.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
 
 

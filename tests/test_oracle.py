@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import registry
+from quarry.operators import review
+from quarry.plans import frames, registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,3 +41,11 @@ def test_query_matches_duckdb(spark, duck, name):
 def test_every_query_is_named_once():
     assert len(registry.QUERIES) > 90
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_queries_without_oracle_read_the_whole_graph(spark):
+    edges = frames.part_edges(spark, SF)
+    ids = {x for r in edges.collect() for x in r}
+    assert {r["id"] for r in registry.QUERIES["communities_modularity"](spark, SF).collect()} == ids
+    want = sorted(">".join(map(str, r["path"])) for r in review.processes(edges).collect())
+    assert sorted(r["path"] for r in registry.QUERIES["process_detection"](spark, SF).collect()) == want
