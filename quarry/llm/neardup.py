@@ -8,17 +8,16 @@ plus a random fraction at the j-th; a position keeps its least value. Ranks of o
 the variance against independent minima, and a text is done (early stopping) as soon as all its positions hold a value
 below the next rank: after one visit for long texts. Batches of texts run through the ranks together.
 
-Candidates: equal sets are one node (the least id). Bands of `rows` positions give bucket keys; in each bucket the
-members with most bucket mates are hubs, and every other member is compared with them, so a bucket of n costs n pairs.
-After each round links are merged; buckets whose members all share a component are done, the others go on with
-twice as many new hubs, until every member of a bucket shares a component with every other or was compared with it.
-So nothing in a bucket is lost, and groups of copies, however large, end after a round or two.
+Candidates: equal sets are one node, known by a hash of the set. Bands of `rows` positions give bucket keys, and the
+members of a bucket are compared as in `group_buckets`: first with one hub, then those in other components with their
+likeliest partners, until every two members share a component or were compared (signatures that agree too little rule a
+pair out).
 
 Verification: pairs are joined with the full sets and linked if 100 * |intersection| >= percent * |union|.
 
 Cases: null, empty and word-less texts have no shingle and are linked with nothing; a null id is never a
-representative (its rows get the least id that shares their set, or null); rows that repeat an id are one node; an
-empty table gives an empty result; extra columns are ignored.
+representative (its rows get the least id that shares their set, or null); rows that repeat an id and a text are alike, and
+with other texts each row is judged by its own text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import map_texts, utf8
-from quarry.llm.shared import bound_batches, crowded, link_buckets, relabel, stage
+from quarry.llm.shared import bound_batches, crowded, group_buckets, stage
 
 U = np.uint64
+#: Ids of candidate documents are broadcast up to so many rows (32 MB); beyond it the joins on them are shuffled.
+BROADCAST_IDS = 2_000_000
 #: Fixed odd 64-bit multipliers.
 BYTE, MIX1, MIX2, STEP = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
 UNSET = U(0xFFFFFFFFFFFFFFFF)
@@ -115,8 +116,20 @@ def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
     return sig.reshape(n, m)
 
 
+def set_hashes(h: np.ndarray, sizes: np.ndarray) -> dict:
+    """n_shingles and two hashes of each whole set."""
+    ends = np.append(0, np.cumsum(sizes))
+    total = lambda v: np.diff(np.append(U(0), np.add.accumulate(v))[ends]).view(np.int64)
+    return {"n_shingles": sizes, "set_a": total(mix(h + U(1))), "set_b": total(mix(h ^ STEP))}
+
+
+def node() -> Column:
+    """The id of a set."""
+    return F.xxhash64("set_a", "set_b", "n_shingles").alias("u")
+
+
 def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, the bucket keys of its bands and 4 bits of each position (empty for an empty set)."""
+    """doc_id, n_shingles, u (the set), the bucket keys of its bands and 8 bits of each position (empty for an empty set)."""
 
     def f(part: pa.RecordBatch) -> dict:
         h, sizes = shingles(part.column("text"), words)
@@ -124,27 +137,25 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         key = np.arange(bands, dtype=U)[None, :] + U(1)
         for i in range(rows):
             key = mix(key * STEP + sig[:, :, i])
-        ends = np.cumsum(sizes)
-        total = lambda v: np.diff(np.append(U(0), np.add.accumulate(v))[np.append(0, ends)])
         some = sizes > 0
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * x.shape[1])).astype(np.int32)), pa.array(x[some].reshape(-1).view(np.int64)))
-        nibbles = np.zeros((len(sizes), -(-bands * rows // 16) * 16), np.uint8)
-        nibbles[:, : bands * rows] = (sig.reshape(len(sizes), -1) & U(15)).astype(np.uint8)
-        short = np.ascontiguousarray(nibbles[:, ::2] << 4 | nibbles[:, 1::2]).view(np.int64)
-        return {"n_shingles": sizes, "set_a": total(mix(h + U(1))).view(np.int64), "set_b": total(mix(h ^ STEP)).view(np.int64), "bands": lists(key), "short": lists(short)}
+        short = np.zeros((len(sizes), -(-bands * rows // 8) * 8), np.uint8)
+        short[:, : bands * rows] = (sig.reshape(len(sizes), -1) & U(255)).astype(np.uint8)
+        return set_hashes(h, sizes) | {"bands": lists(key), "short": lists(short.view(np.int64))}
 
-    return map_texts(docs, f, "n_shingles long, set_a long, set_b long, bands array<long>, short array<long>", ["doc_id"], limit=2 << 20)
+    out = map_texts(docs, f, "n_shingles long, set_a long, set_b long, bands array<long>, short array<long>", ["doc_id"], limit=2 << 20)
+    return out.select("doc_id", "n_shingles", node(), "bands", "short")
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its shingle hashes, sorted, packed as 64-bit values."""
+    """u and its shingle hashes, sorted, packed as 64-bit values, a row a document."""
 
     def f(part: pa.RecordBatch) -> dict:
         h, sizes = shingles(part.column("text"), words)
         ends = np.append(0, np.cumsum(sizes))
-        return {"packed": [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]}
+        return set_hashes(h, sizes) | {"packed": [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]}
 
-    return map_texts(docs, f, "packed binary", ["doc_id"])
+    return map_texts(docs, f, "n_shingles long, set_a long, set_b long, packed binary", ["doc_id"]).select(node(), "packed")
 
 
 def verify(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
@@ -160,8 +171,8 @@ def verify(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(packed.select(F.col("doc_id").alias("u"), F.col("packed").alias("a")), "u")
-    joined = joined.join(packed.select(F.col("doc_id").alias("v"), F.col("packed").alias("b")), "v")
+    joined = pairs.join(packed.select("u", F.col("packed").alias("a")), "u")
+    joined = joined.join(packed.select(F.col("u").alias("v"), F.col("packed").alias("b")), "v")
     return joined.select(*names, "a", "b").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
@@ -172,18 +183,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stage(sign(docs, words, bands, rows), "neardup-signed")
-    node = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "short")).alias("least"))
-    node = node.select("set_a", "set_b", "n_shingles", F.col("least.doc_id").alias("u"), "least.bands", "least.short")
-    nodes = stage(node, "neardup-nodes")
-
-    entries = crowded(nodes.select("u", F.col("n_shingles").alias("n"), *(F.col("short")[i].alias(f"s{i}") for i in range(-(-bands * rows // 16))), F.explode("bands").alias("bucket")), "neardup")
-    mates = entries.select("u").distinct()
-    packed = stage(sets(docs.join(mates.select(F.col("u").alias("doc_id")), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("packed").alias("packed")), "neardup-sets")
-
-    least = int((percent / 100 - slack) * bands * rows)
-    links, merges = link_buckets(entries, lambda pairs: verify(pairs, packed, percent), percent, least, "neardup")
-    label = relabel(nodes.select("set_a", "set_b", "n_shingles", "u"), merges)
+    nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("u").agg(F.min("doc_id").alias("first"), F.first(F.struct("bands", "short")).alias("sign"))
+    nodes = stage(nodes.select("u", "first", "sign.*"), "neardup-nodes")
+
+    entries = crowded(nodes.select("u", F.explode("bands").alias("bucket")), "neardup")
+    ids = stage(entries.select("u").distinct().join(nodes.select("u", "first"), "u"), "neardup-ids")
+    few = ids.count() <= BROADCAST_IDS
+    some = lambda cols: F.broadcast(cols) if few else cols
+    wanted = docs.join(some(ids.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    packed = stage(sets(wanted, words).join(some(ids.select("u")), "u", "left_semi").groupBy("u").agg(F.first("packed").alias("packed")), "neardup-sets")
+
+    least = int((percent / 100 - slack) * bands * rows) + -bands * rows % 8  # unused bytes always agree
+    short = [F.col("short")[i].alias(f"s{i}") for i in range(-(-bands * rows // 8))]
+    signs = stage(nodes.join(some(ids.select("u")), "u", "left_semi").select("u", *short), "neardup-signs")
+    links, roots = group_buckets(entries, signs, lambda pairs: verify(pairs, packed, percent), least, "neardup")
+    firsts = roots.join(ids, "u")
+    label = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("u", "component_id")
     degree = links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
-    label = label.join(degree, "u", "left").select("set_a", "set_b", "n_shingles", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.drop("bands", "short").join(label, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    label = nodes.select("u", "first").join(label, "u", "left").join(degree, "u", "left").select("u", F.coalesce("component_id", "first").alias("component_id"), "n_links")
+    out = signed.select("doc_id", "n_shingles", "u").join(label, "u", "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -64,94 +64,72 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = now
 
 
-NIBBLES = 0x1111111111111111
+#: The lowest bit of each byte of a long.
+LOW_BITS = 0x0101010101010101
 
 
-def packed_matches(a: list[Column], b: list[Column], spare: int = 0) -> Column:
-    """How many 4-bit values agree in two lists of longs of 16 values each; `spare` values at the end are unused (and equal)."""
-    total = F.lit(-spare)
+def packed_matches(a: list[Column], b: list[Column]) -> Column:
+    """How many bytes agree in two lists of longs."""
+    total = F.lit(0)
     for x, y in zip(a, b, strict=True):
         d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(NIBBLES))
-        total = total + 16 - F.bit_count(d)
+        for by in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, by))
+        total = total + 8 - F.bit_count(d.bitwiseAND(F.lit(LOW_BITS)))
     return total
 
 
 def crowded(entries: DataFrame, name: str) -> DataFrame:
-    """Of entries (bucket, u, ...) those in buckets with two members or more; adds mates, the members a node meets in all its buckets."""
-    kept = entries.columns
-    members = F.count("*").over(Window.partitionBy("bucket"))
-    entries = stage(entries.withColumn("members", members).where("members > 1"), f"{name}-buckets")
-    mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
-    return stage(entries.select(*kept).join(mates, "u"), f"{name}-entries")
+    """Of entries (bucket, u) those whose bucket holds two nodes or more, with the number of members.
+
+    Entries are dealt out once, by bucket; counting and picking both read that exchange.
+    """
+    dealt = entries.select("bucket", "u").repartition("bucket")
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi")
+    return stage(dealt.join(sizes.select("bucket", "members").hint("shuffle_hash"), "bucket"), f"{name}-entries")
 
 
-def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, least: int, name: str, most: int = 512) -> tuple[DataFrame, list[DataFrame]]:
-    """All components of the nodes that share buckets, comparing each bucket's members with few hubs instead of each other.
+def group_buckets(entries: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], least: int, name: str, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The components of nodes that share buckets, without making all pairs of a bucket.
 
-    entries: bucket, u, n (set size; pairs whose sizes alone rule out `percent` are skipped), mates, and s0, s1, ... (the
-    signature, 4 bits a position); pairs that agree in fewer than `least` positions are skipped. verify gets distinct pairs
-    (u, v, ru, rv) and keeps the similar ones.
+    entries: bucket, u, members (see `crowded`). nodes: u and its signature s0, s1, ... (8 bits a position); pairs that agree
+    in fewer than `least` positions are skipped. verify gets distinct pairs (u, v) and keeps the similar ones.
 
-    First every member is compared with the best of its buckets' top hubs (those with most mates), which joins groups of
-    copies by one pair a member. Then, round by round, fresh members become hubs (1 a bucket, then 8, 64, ... up to `most`)
-    and all members of other components are compared with them. A bucket is done when its members share one component or
-    at most one member has not been a hub, so every two members of a bucket end in one component or were compared. Hubs
-    travel as one bounded list a bucket, so joins yield a row a member, and only pairs that may be similar are made.
-    Returns the links and the merges (node, root) of each round, to be applied in order by `relabel`.
+    First every member is compared with its bucket's hub, the member that meets most others over all its buckets: one pair
+    a member, which joins groups of copies. A bucket is open while its members lie in several components; those outside its
+    largest one are its outliers. Then, in rounds, each outlier's signature is held against all members of its open buckets
+    (dealt out in blocks of about `block`, so a large bucket is many tasks' work), and its `most` likeliest partners in other
+    components are verified, most likely first; `most` grows from 1 by 16 until a round has verified every partner that
+    an outlier has left. So two members of a bucket end in one component, or were compared. Returns the links found (u, v) and
+    (u, root) of the linked nodes, root being the least node of its component.
     """
-    sig = [c for c in entries.columns if c[0] == "s" and c[1:].isdigit()]
-    entries = entries.withColumn("root", F.col("u")).withColumn("spent", F.lit(False)).withColumn("minor", F.lit(True))
-    links, merges, hubs = [], [], 0
+    sig = [c for c in nodes.columns if c[0] == "s" and c[1:].isdigit()]
+    ends = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+    mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
+    hubs = entries.join(mates, "u").groupBy("bucket").agg(F.max(F.struct("mates", "u")).alias("hub")).select("bucket", F.col("hub.u").alias("v"))
+    links = stage(verify(entries.join(hubs, "bucket").where("u <> v").select(*ends).distinct()), f"{name}-links")
+    most = 1
     while True:
-        hub = F.struct("mates", (-F.col("u")).alias("minus"), "n", "root", *sig)
-        fresh = entries.where("minor and not spent")
-        if hubs <= 1:
-            top = fresh.groupBy("bucket").agg(F.array(F.max(hub)).alias("hubs"))
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.desc("mates"), "u")
-            top = fresh.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs).groupBy("bucket").agg(F.collect_list(hub).alias("hubs"))
-
-        def near(h: Column) -> Column:
-            sizes = 100 * F.least(F.col("n"), h["n"]) >= percent * F.greatest(F.col("n"), h["n"])
-            return (F.col("root") != h["root"]) & sizes & (packed_matches([F.col(c) for c in sig], [h[c] for c in sig]) >= least)
-
-        met = entries.join(top, "bucket").select("u", "root", *sig, F.explode(F.filter("hubs", near)).alias("hub"))
-        h, first = -F.col("hub.minus"), F.col("u") > -F.col("hub.minus")
-        either = lambda x, y, z: F.when(first, x).otherwise(y).alias(z)
-        ends = [either(F.col("u"), h, "u"), either(h, F.col("u"), "v"), either(F.col("root"), F.col("hub.root"), "ru"), either(F.col("hub.root"), F.col("root"), "rv")]
-        if hubs == 0:
-            alike = packed_matches([F.col(c) for c in sig], [F.col(f"hub.{c}") for c in sig])
-            best = met.groupBy("u", "root").agg(F.max(F.struct(alike.alias("alike"), "hub.mates", "hub.minus", "hub.root")).alias("hub"))
-            pairs = best.select(*ends).distinct()
-        else:
-            pairs = met.select(*ends).distinct()
-        found = stage(verify(pairs), f"{name}-links")
-        state = entries
-        spent, root = F.col("spent"), F.col("root")
-        if hubs:
-            now = top.select("bucket", F.explode("hubs").alias("x")).select("bucket", (-F.col("x.minus")).alias("u"), F.lit(True).alias("now"))
-            state, spent = entries.join(now, ["bucket", "u"], "left"), F.col("spent") | F.col("now").isNotNull()
-        if not links or not found.isEmpty():
-            links.append(found)
-            merges.append(stage(components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")), f"{name}-cc"), f"{name}-merges"))
-            state = state.join(merges[-1].select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-            root = F.coalesce("to", "root")
-        state = state.select("bucket", "u", "n", "mates", *sig, root.alias("root"), spent.alias("spent"))
-        # a bucket's largest component needs no hubs of its own: members outside it are compared with all others
-        parts = state.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.count_if(~F.col("spent")).alias("fresh"))
-        parts = parts.groupBy("bucket").agg(F.max(F.struct("c", "root", "fresh")).alias("most"), F.sum("fresh").alias("fresh"), F.count("*").alias("roots"))
-        open_ = parts.where("roots > 1 and fresh > most.fresh").select("bucket", F.col("most.root").alias("major"))
-        entries = stage(state.join(open_, "bucket").withColumn("minor", F.col("root") != F.col("major")).drop("major"), f"{name}-entries")
-        if entries.isEmpty():
-            return links[0].sparkSession.read.parquet(*(p for x in links for p in x.inputFiles())) if len(links) > 1 else links[0], merges
-        hubs = min(max(1, hubs * 8), most)
-
-
-def relabel(nodes: DataFrame, merges: list[DataFrame]) -> DataFrame:
-    """Adds root to nodes (u): u itself where nothing was linked."""
-    out = nodes.withColumn("root", F.col("u"))
-    for m in merges:
-        out = out.join(m.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-    return out
+        roots = stage(components(links, f"{name}-cc"), f"{name}-roots")
+        state = entries.select("bucket", "u").join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+        parts = state.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+        parts = parts.agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+        parts = parts.select("bucket", F.col("major.root").alias("major"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+        open_ = stage(state.join(parts, "bucket").join(nodes.select("u", *sig), "u"), f"{name}-open")
+        if open_.isEmpty():
+            return links, roots.withColumnRenamed("node", "u")
+        dealt = open_.groupBy("bucket", F.pmod(F.xxhash64("u"), "blocks").cast("int").alias("block")).agg(F.collect_list(F.struct("u", "root", *sig)).alias("others"))
+        outliers = open_.where("root <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        alike = lambda x: packed_matches([F.col(c) for c in sig], [x[c] for c in sig])
+        rated = F.transform(F.filter("others", lambda x: x["root"] != F.col("root")), lambda x: F.struct((-alike(x)).alias("minus"), x["u"].alias("v")))
+        best = F.slice(F.sort_array(F.filter(rated, lambda x: x["minus"] <= -least)), 1, most + 1)
+        met = outliers.join(dealt, ["bucket", "block"]).select("u", F.explode(best).alias("x")).select("u", "x.*").distinct()
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("minus", "v")))
+        ranked = stage(ranked.where(F.col("rank") <= most + 1).select("u", "v", "rank"), f"{name}-ranked")
+        top = ranked.agg(F.max("rank")).first()[0] or 0
+        if top:
+            found = stage(verify(ranked.where(F.col("rank") <= most).select(*ends).distinct()), f"{name}-links")
+            links = stage(links.union(found).distinct(), f"{name}-links")
+        if top <= most:
+            return links, (stage(components(links, f"{name}-cc"), f"{name}-roots") if top else roots).withColumnRenamed("node", "u")
+        most *= 16

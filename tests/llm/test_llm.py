@@ -59,7 +59,7 @@ def test_components(spark):
 def test_packed_matches(spark):
     a, b = 0x1234567890ABCDE, 0x1034567890ABCD0
     one = spark.createDataFrame([(a, b)], "a long, b long")
-    assert one.select(packed_matches([F.col("a")], [F.col("b")])).first()[0] == 14
+    assert one.select(packed_matches([F.col("a")], [F.col("b")])).first()[0] == 6
 
 
 def test_quality_base_rules(spark, docs):
@@ -356,6 +356,48 @@ def test_line_dedup_links_lines_without_spaces(spark):
     assert got == want
 
 
+def test_line_dedup_recall_near_the_threshold(spark):
+    """Of pairs at 0.8 to 0.85 (short lines, long ones, unspaced and CJK) at least 99 % are linked; pairs below 0.8 never."""
+    rng = random.Random(12)
+
+    def grams(x):
+        return {x[k : k + 5] for k in range(max(len(x) - 4, 1))}
+
+    kinds = [("abcdefghij     ", 30, 60), ("abcdefghijklmnopqrstuvwxyz", 100, 200), ("".join(map(chr, range(0x4E00, 0x5E00))), 40, 120), ("abcdefgh    ", 200, 400)]
+    rows, alike = [], {}
+    for kind, (letters, low, high) in enumerate(kinds):
+        made = 0
+        while made < 150:
+            line = "x" + "".join(rng.choice(letters) for _ in range(rng.randrange(low, high))) + "y"
+            other = list(line)
+            for _ in range(rng.randrange(1, 2 + len(line) // 40)):
+                other[rng.randrange(1, len(other) - 1)] = rng.choice("01234")
+            cut = rng.randrange(max(2, len(line) // 12))
+            a, b = line, "".join(other)[: len(line) - cut] + "y" * (cut > 0)
+            j = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+            if 0.7 < j < 0.85:
+                k = len(rows)
+                rows += [(k, a, "en", "s", 1), (k + 1, b, "en", "s", 1)]
+                alike[k + 1] = (kind, j >= 0.8)
+                made += 1
+    got = {r["doc_id"]: r["n_kept"] for r in linededup.line_decisions(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k] == 1 for k, (_, link) in alike.items() if not link)
+    links = [k for k, (_, link) in alike.items() if link]
+    assert len(links) > 150 and sum(got[k] == 0 for k in links) >= 0.99 * len(links)
+
+
+def test_dedup_of_repeated_ids_with_other_texts(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, f"{long}\nfirst tail of one", "en", "s", 1), (1, f"{long}\nanother end", "en", "s", 1), (1, "plain", "en", "s", 1), (2, "plain\nnew line here", "en", "s", 1)]
+    frame = spark.createDataFrame(rows, DOCS)
+    out = sorted((r["doc_id"], r["text"]) for r in linededup.dedup_text(frame).collect())
+    assert [x for x in out if x[0] == 2] == [(2, "new line here")]
+    assert sorted(len(t.split("\n")) for i, t in out if i == 1) == [1, 1, 2]
+    near = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, long, "en", "s", 1), (2, f"{long} end", "en", "s", 1)], DOCS)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(near, words=4).collect()]
+    assert sorted(got) == [(1, 3, 1, True), (1, 37, 1, True), (2, 38, 1, False)]
+
+
 def test_line_dedup_text(odd):
     out = linededup.dedup_text(odd)
     assert out.columns == odd.columns
