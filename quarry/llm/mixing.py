@@ -55,8 +55,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int =
 
 
 def reversed_bits(i: Column, bits: Column) -> Column:
-    """The low `bits` bits of i in reverse order."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda a, t: F.when(t < bits, a * 2 + F.call_function("mod", F.call_function("shiftright", i, t), F.lit(2))).otherwise(a))
+    """The bits of i, which has at most `bits`, in reverse order."""
+    back = F.reverse(F.call_function("lpad", F.bin(i), bits.cast("int"), F.lit("0")))
+    return F.coalesce(F.conv(back, 2, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def rank_below(i: Column, bits: Column, start: Column, end: Column) -> Column:
@@ -71,7 +72,8 @@ def rank_below(i: Column, bits: Column, start: Column, end: Column) -> Column:
         return F.greatest(upto(end), F.lit(0)) - F.greatest(upto(start), F.lit(0))
 
     has = lambda t: F.call_function("mod", F.call_function("shiftright", i, t), F.lit(2)) == 1
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda a, t: a + F.when((t < bits) & has(t), class_size(t)).otherwise(F.lit(0).cast("long")))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(bits - 1, F.lit(0))), lambda t: (t < bits) & has(t))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda a, t: a + class_size(t))
 
 
 def layout(docs: DataFrame, seed: int) -> DataFrame:
@@ -95,7 +97,8 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     s = s.withColumn("bits", F.ceil(F.log2(F.greatest(F.sum("slots").over(Window.partitionBy()), F.lit(1)).cast("double"))).cast("int")).where("slots > 0")
     # a source owns the points from_point .. to_point - 1; reversing the bits of a point gives its slot
     runs = s.withColumn("run", F.explode(F.sequence(F.floor(F.col("from_point") / 4096), F.floor((F.col("to_point") - 1) / 4096))))
-    runs = runs.repartition(F.col("run"))
+    # rows multiply after this shuffle, so their number says nothing of the work: a fixed number of tasks, never merged
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run")
     lo, hi = F.greatest(F.col("from_point"), F.col("run") * 4096), F.least(F.col("to_point"), (F.col("run") + 1) * 4096) - 1
     points = runs.withColumn("point", F.explode(F.sequence(lo, hi))).withColumn("slot", reversed_bits(F.col("point"), F.col("bits")))
     ranked = points.withColumn("rank", rank_below(F.col("slot"), F.col("bits"), F.col("from_point"), F.col("to_point")))
@@ -120,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = 3, bl
     parts = laid.where("size > 0").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))))
     over = F.least(F.col("to_token"), F.col("first") + F.col("size")) - F.greatest(F.col("from_token"), F.col("first"))
     taken = (
-        parts.join(slots, ["s", "block_no"])
+        parts.join(slots.hint("merge"), ["s", "block_no"])  # slots grow with the corpus and are never broadcast
         .withColumn("words", over)
         .where("words > 0")
         .groupBy("s", "first")
