@@ -18,6 +18,7 @@ encoded each; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -92,21 +93,32 @@ class Vocabulary:
 
     def merged(self, word: str, last: list | None = None) -> list[int]:
         """The merges run one by one: best score first, then leftmost. Unknown characters are -1 - code point."""
-        syms = [self.ids.get(c, -1 - ord(c)) for c in word]
-        text = list(word)
-        while len(syms) > 1:
-            best, at = None, -1
-            for k in range(len(syms) - 1):
-                i = self.ids.get(text[k] + text[k + 1]) if syms[k] >= 0 and syms[k + 1] >= 0 else None
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
-            if at < 0:
-                break
+        n = len(word)
+        text: list[str | None] = list(word)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            j = after[k]
+            if j < n and text[k] in self.ids and text[j] in self.ids and (i := self.ids.get(text[k] + text[j])) is not None:
+                heapq.heappush(heap, (-self.score[i], k, text[k] + text[j]))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, both = heapq.heappop(heap)
+            j = after[k] if text[k] is not None else n
+            if j >= n or text[k] + text[j] != both:
+                continue  # one of the two has been merged otherwise since
             if last is not None:
-                last.append((syms[at], syms[at + 1]))
-            text[at : at + 2] = [text[at] + text[at + 1]]
-            syms[at : at + 2] = [self.ids[text[at]]]
-        return syms
+                last.append((self.ids[text[k]], self.ids[text[j]]))
+            text[k], text[j], after[k] = both, None, after[j]
+            if after[k] < n:
+                before[after[k]] = k
+                offer(k)
+            if before[k] >= 0:
+                offer(before[k])
+        return [self.ids.get(t, -1 - ord(t[0])) for t in text if t is not None]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a: no merge across the border comes before the merges that made them."""
