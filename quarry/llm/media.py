@@ -6,7 +6,9 @@ sample and keyframe. `write_container` stores a payload losslessly as 8-bit grey
 every 12th of them a sync sample, 8 samples a chunk.
 
 Cases: a null or empty text is one frame of 255s; equal texts give equal containers; very long texts only make longer
-sample tables; bytes that are no container, or whose boxes run past the end, give nulls; an empty table an empty result.
+sample tables; of several tracks the first with video is read; bytes that are no container, whose boxes or tables don't fit
+each other, or that are nested too deeply, give nulls, as do fragmented files (their samples lie in moof boxes); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,14 +106,19 @@ def rows(data: memoryview, at: int, width: int, kind: str = ">u4") -> np.ndarray
 
 
 def read_container(blob: bytes | None) -> dict | None:
-    """codec, width, height, timescale, duration, and offset, size and sync (arrays over the samples) of the first track; None if it has none."""
+    """codec, width, height, timescale, duration, and offset, size and sync (arrays over the samples) of the first video track, else the first track; None if there is none."""
     if not blob:
         return None
     data = memoryview(blob)
-    got: dict = {}
+    tracks: list[dict] = []
     try:
         for path, a, b in walk(data, 0, len(data)):
-            got.setdefault(path[-1], (a, b))
+            if path[-1] == b"trak":
+                tracks.append({})
+            elif b"trak" in path:
+                tracks[-1].setdefault(path[-1], (a, b))
+        video = [t for t in tracks if b"hdlr" in t and bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]) == b"vide"]
+        got = [*video, *tracks, {}][0]
         stbl = {k: got[k][0] for k in (b"stsd", b"stts", b"stsc", b"stsz", b"mdhd")}
         a = stbl[b"mdhd"]
         scale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
@@ -120,11 +127,17 @@ def read_container(blob: bytes | None) -> dict | None:
         width, height = struct.unpack_from(">HH", data, a + 32)
         a = stbl[b"stsz"]
         fixed, n = struct.unpack_from(">II", data, a + 4)
+        if fixed * n > len(data):
+            raise ValueError("more samples than bytes")
         size = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
         chunk = rows(data, got[b"stco"][0], 1)[:, 0] if b"stco" in got else rows(data, got[b"co64"][0], 1, ">u8")[:, 0]
         runs = rows(data, stbl[b"stsc"], 3)
+        if runs[:, 1].max(initial=0) > n:
+            raise ValueError("a chunk holds more samples than there are")
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1)))
-        in_chunk = np.repeat(np.arange(len(chunk)), per_chunk)[:n]
+        if per_chunk.sum() != n:
+            raise ValueError("the chunks hold other samples than there are")
+        in_chunk = np.repeat(np.arange(len(chunk)), per_chunk)
         before = np.cumsum(size) - size
         first = np.cumsum(per_chunk) - per_chunk
         offset = chunk[in_chunk] + before - before[np.minimum(first, max(n - 1, 0))][in_chunk]
@@ -132,7 +145,9 @@ def read_container(blob: bytes | None) -> dict | None:
         times = rows(data, stbl[b"stts"], 2)
         if n and int((offset + size).max()) > len(data):
             raise ValueError("a sample runs past the end")
-    except (KeyError, ValueError, struct.error, IndexError):
+        if len(sync) and not 0 <= sync.min() <= sync.max() < n:
+            raise ValueError("a keyframe that is no sample")
+    except (KeyError, ValueError, struct.error, IndexError, RecursionError):
         return None
     return {"codec": codec, "width": width, "height": height, "timescale": scale, "duration": duration or int((times[:, 0] * times[:, 1]).sum()), "offset": offset, "size": size, "sync": sync}
 
