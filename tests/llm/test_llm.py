@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -457,3 +458,40 @@ def test_pipeline_stages(spark, odd):
         assert f(spark, docs.limit(0), SF).count() == 0
     kept = corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id").collect()
     assert sorted(str(r[0]) for r in kept) == sorted(["1", "2", "3", "4", "5", "6", "None"])
+
+
+def test_media_reader_survives_any_bytes():
+    rng = random.Random(3)
+    blob = media.write_container(media.pad(b"some text " * 700))
+    head = blob.index(b"moov")
+    cases = [blob[:k] for k in range(0, len(blob), 97)] + [b"\0\0\0\0moov" * 3000]
+    for _ in range(1500):
+        b = bytearray(blob)
+        for _ in range(rng.randrange(1, 4)):
+            b[rng.randrange(head, min(head + 900, len(b)))] = rng.choice((0, 1, 127, 255))
+        cases.append(bytes(b))
+    for b in cases:
+        info = media.read_container(b)
+        if info is not None:
+            media.describe(info)
+            media.read_payload(b, info)
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    assert html.parse("<a '" * 100_000).kids
+    import sentencepiece as library
+
+    run = " " * 50_000 + "x"
+    ids, many = sentencepiece.Encoder(sentencepiece.Vocabulary()).encode([run])
+    assert ids[: many[0]].tolist() == library.SentencePieceProcessor(model_file=sentencepiece.MODEL).encode(run)
+    assert time.time() - began < 20
+
+
+def test_html_keeps_sections_of_the_article(spark):
+    page = (
+        "<html><body><div class='site-header'>top</div><article><h1>Title</h1><section class='related-work'><p>Work that is related.</p></section>"
+        "<p>Body.</p><div class='comment-list'><p>first!</p></div><div class='share-buttons'>share</div></article><footer>end</footer></body></html>"
+    )
+    rows = spark.createDataFrame([(1, "http://a.b/1", page)], "page_id long, url string, html string")
+    assert html.extract_pages(rows).first()["text"] == "Title\nWork that is related.\nBody."
