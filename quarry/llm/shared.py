@@ -99,16 +99,16 @@ def group_buckets(entries: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
     a member, which joins groups of copies. A bucket is open while its members lie in several components; those outside its
     largest one are its outliers. Then, in rounds, each outlier's signature is held against all members of its open buckets
     (dealt out in blocks of about `block`, so a large bucket is many tasks' work), and its `most` likeliest partners in other
-    components are verified, most likely first; `most` grows from 1 by 16 until a round has verified every partner that
-    an outlier has left. So two members of a bucket end in one component, or were compared. Returns the links found (u, v) and
-    (u, root) of the linked nodes, root being the least node of its component.
+    components are verified, most likely first. An outlier is spent when a round has verified every partner that it has left;
+    the others go on with a larger `most`. So two members of a bucket end in one component, or were compared. Returns the links
+    found (u, v) and (u, root) of the linked nodes, root being the least node of its component.
     """
     sig = [c for c in nodes.columns if c[0] == "s" and c[1:].isdigit()]
     ends = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
     hubs = entries.join(mates, "u").groupBy("bucket").agg(F.max(F.struct("mates", "u")).alias("hub")).select("bucket", F.col("hub.u").alias("v"))
     links = stage(verify(entries.join(hubs, "bucket").where("u <> v").select(*ends).distinct()), f"{name}-links")
-    most = 1
+    most, spent = 8, None
     while True:
         roots = stage(components(links, f"{name}-cc"), f"{name}-roots")
         state = entries.select("bucket", "u").join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
@@ -119,7 +119,10 @@ def group_buckets(entries: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
         if open_.isEmpty():
             return links, roots.withColumnRenamed("node", "u")
         dealt = open_.groupBy("bucket", F.pmod(F.xxhash64("u"), "blocks").cast("int").alias("block")).agg(F.collect_list(F.struct("u", "root", *sig)).alias("others"))
-        outliers = open_.where("root <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        outliers = open_.where("root <> major")
+        outliers = outliers if spent is None else outliers.join(spent, "u", "left_anti")
+        asked = outliers.select("u").distinct()
+        outliers = outliers.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         alike = lambda x: packed_matches([F.col(c) for c in sig], [x[c] for c in sig])
         rated = F.transform(F.filter("others", lambda x: x["root"] != F.col("root")), lambda x: F.struct((-alike(x)).alias("minus"), x["u"].alias("v")))
         best = F.slice(F.sort_array(F.filter(rated, lambda x: x["minus"] <= -least)), 1, most + 1)
@@ -132,4 +135,6 @@ def group_buckets(entries: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
             links = stage(links.union(found).distinct(), f"{name}-links")
         if top <= most:
             return links, (stage(components(links, f"{name}-cc"), f"{name}-roots") if top else roots).withColumnRenamed("node", "u")
-        most *= 16
+        done = asked.join(ranked.where(F.col("rank") > most).select("u"), "u", "left_anti")
+        spent = stage(done if spent is None else spent.union(done), f"{name}-spent")
+        most *= 64
