@@ -71,11 +71,11 @@ def props_json_extract(spark, d):
     return _events(spark, d).groupBy(F.try_variant_get(v, "$.k", "int").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("asof_latest", """SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 40000) AS at FROM orders WHERE o_custkey <= 150) o ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) e ON o.o_custkey = e.user_id AND o.at >= e.ts""")
+@query("asof_latest", """SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 40000) AS at FROM orders) o ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) e ON o.o_custkey = e.user_id AND o.at >= e.ts""")
 def asof_latest(spark, d):
     """As-of join without a range join: both sides in one stream per key, the last event carried forward."""
     at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + (F.col("o_orderkey") % 40000) * 60)
-    o = table(spark, d, "orders").where("o_custkey <= 150").select(F.col("o_custkey").alias("k"), at.alias("ts"), "o_orderkey", F.lit(None).cast("long").alias("event_id"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), at.alias("ts"), "o_orderkey", F.lit(None).cast("long").alias("event_id"))
     e = _events(spark, d).groupBy(F.col("user_id").alias("k"), "ts").agg(F.max("event_id").alias("event_id")).select("k", "ts", F.lit(None).cast("long").alias("o_orderkey"), "event_id")
     w = Window.partitionBy("k").orderBy("ts", F.col("o_orderkey").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     return o.union(e).withColumn("last", F.last("event_id", ignorenulls=True).over(w)).where("o_orderkey is not null").select("o_orderkey", F.col("last").alias("event_id"))
@@ -121,19 +121,19 @@ def url_scope(spark, d):
     return web.links(table(spark, d, "pages")).groupBy("page_id").agg(F.count_if(web.in_scope(F.col("link"), F.col("url"))).alias("n_inside"), F.count("*").alias("n"))
 
 
-@query("lcov_coverage", "SELECT 'src/p' || l_partkey || '.py' AS file, CAST(count(*) AS INTEGER) AS lines, CAST(count(CASE WHEN CAST(l_quantity AS INTEGER) % 3 > 0 THEN 1 END) AS INTEGER) AS hit, 100.0::DOUBLE * count(CASE WHEN CAST(l_quantity AS INTEGER) % 3 > 0 THEN 1 END) / count(*) AS coverage FROM lineitem WHERE l_partkey <= 500 GROUP BY l_partkey")
+@query("lcov_coverage", "SELECT 'src/p' || l_partkey || '.py' AS file, CAST(count(*) AS INTEGER) AS lines, CAST(count(CASE WHEN CAST(l_quantity AS INTEGER) % 3 > 0 THEN 1 END) AS INTEGER) AS hit, 100.0::DOUBLE * count(CASE WHEN CAST(l_quantity AS INTEGER) % 3 > 0 THEN 1 END) / count(*) AS coverage FROM lineitem GROUP BY l_partkey")
 def lcov_coverage(spark, d):
     """LCOV reports (one a part, from its order lines) written as text and parsed again."""
-    l = table(spark, d, "lineitem").where("l_partkey <= 500")  # noqa: E741
+    l = table(spark, d, "lineitem")  # noqa: E741
     da = F.concat(F.lit("DA:"), F.col("l_linenumber").cast("string"), F.lit(","), (F.col("l_quantity").cast("int") % 3).cast("string"))
     text = F.concat(F.lit("TN:\nSF:./src/p"), F.col("l_partkey").cast("string"), F.lit(".py\n"), F.array_join(F.collect_list(da), "\n"), F.lit("\nend_of_record\n"))
     return reports.lcov(l.groupBy("l_partkey").agg(text.alias("content")).select(F.lit("r").alias("path"), "content"))
 
 
-@query("numstat_parse", "SELECT CAST(o_orderkey AS VARCHAR) AS commit, 'src/p' || l_partkey || '.py' AS file, CAST(l_quantity AS BIGINT) AS ins, CAST(l_linenumber AS BIGINT) AS del FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey <= 2000")
+@query("numstat_parse", "SELECT CAST(o_orderkey AS VARCHAR) AS commit, 'src/p' || l_partkey || '.py' AS file, CAST(l_quantity AS BIGINT) AS ins, CAST(l_linenumber AS BIGINT) AS del FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def numstat_parse(spark, d):
     """A change log written as numstat text, one commit a row, and parsed again."""
-    l = table(spark, d, "lineitem").where("l_orderkey <= 2000")  # noqa: E741
+    l = table(spark, d, "lineitem")  # noqa: E741
     line = F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.concat(F.lit("src/{old => p"), F.col("l_partkey").cast("string"), F.lit("}.py")))
     log = l.groupBy("l_orderkey").agg(F.concat(F.col("l_orderkey").cast("string"), F.lit("|2024|x\n"), F.array_join(F.collect_list(line), "\n")).alias("entry"))
     return reports.numstat(log).select("commit", "file", "ins", "del")

@@ -15,9 +15,9 @@ def _nodes(spark, d):
     return kinds(table(spark, d, "part"))
 
 
-@query("graph_neighbors", f"WITH {PART_EDGES} SELECT src AS id, dst AS neighbor, 'out' AS direction FROM edges WHERE src <= 20 UNION SELECT dst, src, 'in' FROM edges WHERE dst <= 20")
+@query("graph_neighbors", f"WITH {PART_EDGES} SELECT src AS id, dst AS neighbor, 'out' AS direction FROM edges UNION SELECT dst, src, 'in' FROM edges")
 def graph_neighbors(spark, d):
-    return iterate.neighbors(part_edges(spark, d), _nodes(spark, d).where("id <= 20").select("id"))
+    return iterate.neighbors(part_edges(spark, d), _nodes(spark, d).select("id"))
 
 
 UND = "und AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
@@ -43,17 +43,17 @@ def shortest_path(spark, d):
     return iterate.shortest_path(part_edges(spark, d), 1, 40, 3).select("hops")
 
 
-@query("connected_components", f"""WITH RECURSIVE {PART_EDGES}, few AS (SELECT src, dst FROM edges WHERE src % 3 = 0 AND dst % 3 = 0), u AS (SELECT src, dst FROM few UNION SELECT dst, src FROM few), r(id, to_) AS (SELECT src, src FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.to_)
+@query("connected_components", f"""WITH RECURSIVE {PART_EDGES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(id, to_) AS (SELECT src, src FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.to_)
     SELECT id, min(to_) AS component FROM r GROUP BY id""")
 def connected_components(spark, d):
-    return iterate.connected_components(part_edges(spark, d).where("src % 3 = 0 and dst % 3 = 0"))
+    return iterate.connected_components(part_edges(spark, d))
 
 
-@query("scc_components", f"""WITH RECURSIVE {PART_EDGES}, few AS (SELECT src, dst FROM edges WHERE (src + dst) % 6 = 0 AND src <= 2000 AND dst <= 2000), r(a, b) AS (SELECT src, dst FROM few UNION SELECT r.a, few.dst FROM r JOIN few ON few.src = r.b),
+@query("scc_components", f"""WITH RECURSIVE {PART_EDGES}, r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, edges.dst FROM r JOIN edges ON edges.src = r.b),
     m AS (SELECT x.a AS id, max(greatest(x.a, x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT id, component FROM m""")
 def scc_components(spark, d):
     """Cycles of more than one node; self-loops are none."""
-    return iterate.strongly_connected(part_edges(spark, d).where("(src + dst) % 6 = 0 and src <= 2000 and dst <= 2000"))
+    return iterate.strongly_connected(part_edges(spark, d))
 
 
 @query("taint_paths", f"""WITH RECURSIVE {PART_EDGES}, u AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM edges WHERE dst % 7 <> 0) WHERE r <= 20),
@@ -130,13 +130,13 @@ def method_list_page(spark, d):
     return _nodes(spark, d).where(F.col("kind").isin("function", "method") & F.col("name").ilike("%a%")).orderBy("name", "id").limit(50).select("id", "name")
 
 
-@query("call_list", f"WITH {PART_EDGES} SELECT src, dst, coalesce(a.p_name, CAST(src AS VARCHAR)) AS caller, coalesce(b.p_name, CAST(dst AS VARCHAR)) AS callee FROM edges LEFT JOIN (SELECT * FROM part WHERE p_partkey % 9 <> 0) a ON a.p_partkey = src LEFT JOIN part b ON b.p_partkey = dst WHERE src <= 50")
+@query("call_list", f"WITH {PART_EDGES} SELECT src, dst, coalesce(a.p_name, CAST(src AS VARCHAR)) AS caller, coalesce(b.p_name, CAST(dst AS VARCHAR)) AS callee FROM edges LEFT JOIN (SELECT * FROM part WHERE p_partkey % 9 <> 0) a ON a.p_partkey = src LEFT JOIN part b ON b.p_partkey = dst")
 def call_list(spark, d):
     """Edges with the names of both ends; an unknown end shows its id."""
     p = table(spark, d, "part")
     a = p.where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("src"), F.col("p_name").alias("an"))
     b = p.select(F.col("p_partkey").alias("dst"), F.col("p_name").alias("bn"))
-    e = part_edges(spark, d).where("src <= 50").join(a, "src", "left").join(b, "dst", "left")
+    e = part_edges(spark, d).join(a, "src", "left").join(b, "dst", "left")
     return e.select("src", "dst", F.coalesce("an", F.col("src").cast("string")).alias("caller"), F.coalesce("bn", F.col("dst").cast("string")).alias("callee"))
 
 
@@ -149,10 +149,10 @@ def graph_merge(spark, d):
     return graphs.merge_nodes(old, new, "id")
 
 
-@query("scenario_clone", f"WITH {PART_EDGES} SELECT 'c' || src AS src, 'c' || dst AS dst FROM edges WHERE src <= 300 AND dst <= 300")
+@query("scenario_clone", f"WITH {PART_EDGES} SELECT 'c' || src AS src, 'c' || dst AS dst FROM edges")
 def scenario_clone(spark, d):
     """Copy of a graph with remapped ids, by joins on the id map."""
-    ids = _nodes(spark, d).where("id <= 300").select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("new"))
+    ids = _nodes(spark, d).select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("new"))
     e = part_edges(spark, d).join(ids.withColumnsRenamed({"id": "src", "new": "s"}), "src").join(ids.withColumnsRenamed({"id": "dst", "new": "t"}), "dst")
     return e.select(F.col("s").alias("src"), F.col("t").alias("dst"))
 
@@ -194,19 +194,20 @@ def erm_tables(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("tbl")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("columns"), F.count_distinct("p_type").alias("n_columns"))
 
 
-@query("export_lpg_jsonl", "SELECT '{\"type\":\"node\",\"id\":' || p_partkey || ',\"kind\":\"' || p_type || '\"}' AS line FROM part UNION ALL SELECT '{\"type\":\"edge\",\"src\":' || src || ',\"dst\":' || dst || '}' FROM (WITH " + PART_EDGES + " SELECT * FROM edges) WHERE src <= 50")
+@query("export_lpg_jsonl", "SELECT '{\"type\":\"node\",\"id\":' || p_partkey || ',\"kind\":\"' || p_type || '\"}' AS line FROM part UNION ALL SELECT '{\"type\":\"edge\",\"src\":' || src || ',\"dst\":' || dst || '}' FROM (WITH " + PART_EDGES + " SELECT * FROM edges)")
 def export_lpg_jsonl(spark, d):
     """Nodes and edges as JSON lines, ready for write.text."""
     n = table(spark, d, "part").select(F.to_json(F.struct(F.lit("node").alias("type"), F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"))).alias("line"))
-    e = part_edges(spark, d).where("src <= 50").select(F.to_json(F.struct(F.lit("edge").alias("type"), "src", "dst")).alias("line"))
+    e = part_edges(spark, d).select(F.to_json(F.struct(F.lit("edge").alias("type"), "src", "dst")).alias("line"))
     return n.union(e)
 
 
-@query("export_mermaid", f"WITH {PART_EDGES} SELECT 'graph LR' || chr(10) || string_agg('  n' || src || ' --> n' || dst, chr(10) ORDER BY src, dst) AS diagram FROM edges WHERE src <= 30 AND dst <= 200")
+@query("export_mermaid", f"WITH {PART_EDGES} SELECT 0 AS src, 0 AS dst, 'graph LR' AS line UNION ALL SELECT src, dst, '  n' || src || ' --> n' || dst FROM edges")
 def export_mermaid(spark, d):
-    e = part_edges(spark, d).where("src <= 30 and dst <= 200")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("src", "dst"))), lambda x: F.concat(F.lit("  n"), x["src"].cast("string"), F.lit(" --> n"), x["dst"].cast("string")))
-    return e.agg(F.concat(F.lit("graph LR\n"), F.array_join(lines, "\n")).alias("diagram"))
+    """The lines of the diagram, a row each; written in order of src and dst they are the whole file."""
+    head = spark.range(1).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("graph LR").alias("line"))
+    line = F.concat(F.lit("  n"), F.col("src").cast("string"), F.lit(" --> n"), F.col("dst").cast("string"))
+    return head.union(part_edges(spark, d).select("src", "dst", line))
 
 
 @query("test_matrix_pivot", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'error' THEN 1 END) AS error, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchase, count(CASE WHEN event_type = 'signup' THEN 1 END) AS signup, count(CASE WHEN event_type = 'view' THEN 1 END) AS view FROM events GROUP BY user_id")

@@ -140,13 +140,13 @@ def chunk_skip_reasons(spark, d):
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("isolated_points", """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label < 3),
+@query("isolated_points", """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     p AS (SELECT a.vec_id, min(1 - list_cosine_similarity(a.e, b.e)) AS dist FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
     t AS (SELECT avg(dist) + 1.2 * stddev_pop(dist) AS t FROM p)
     SELECT vec_id FROM p, t WHERE dist >= t""")
 def isolated_points(spark, d):
     """Nearest-neighbour distance within the label block at or above mean + 1.2 population deviations."""
-    s = table(spark, d, "embeddings").where("label < 3").select("vec_id", "label", "embedding")
+    s = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     t = s.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e2"))
     near = s.join(t, "label").where("vec_id <> other").groupBy("vec_id").agg(F.min(1 - cosine(F.col("embedding"), F.col("e2"))).alias("dist"))
     limit = near.agg((F.avg("dist") + 1.2 * F.stddev_pop("dist")).alias("t"))
@@ -163,11 +163,14 @@ def semantic_duplicates(spark, d):
 
 
 @query("token_jaccard_pairs", """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark)
-    SELECT a.item_id AS a, c.item_id AS b FROM b a JOIN b c ON a.item_id < c.item_id AND a.item_id % 4 = c.item_id % 4 WHERE len(list_intersect(a.t, c.t)) * 1.0 / len(list_distinct(list_concat(a.t, c.t))) >= 0.15""")
+    SELECT a.item_id AS a, c.item_id AS b FROM b a JOIN b c ON a.item_id < c.item_id WHERE len(list_intersect(a.t, c.t)) * 1.0 / len(list_distinct(list_concat(a.t, c.t))) >= 0.15""")
 def token_jaccard_pairs(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("a"), (F.col("item_id") % 4).alias("g"), F.array_distinct(search.tokens(F.col("text"))).alias("t"))
-    c = b.select(F.col("a").alias("b"), "g", F.col("t").alias("u"))
-    return b.join(c, "g").where("a < b").where(jaccard(F.col("t"), F.col("u")) >= 0.15).select("a", "b")
+    """Pairs of items at 0.15 or more, counted from the tokens they share; items without one in common never meet."""
+    b = table(spark, d, "benchmark").select("item_id", F.array_distinct(search.tokens(F.col("text"))).alias("t"))
+    t = b.select(F.col("item_id").alias("a"), F.size("t").alias("m"), F.explode("t").alias("token"))
+    u = t.withColumnsRenamed({"a": "b", "m": "n"})
+    met = t.join(u, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"), F.first("m").alias("m"), F.first("n").alias("n"))
+    return met.where(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) >= 0.15).select("a", "b")
 
 
 @query("ordered_steps", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")

@@ -41,12 +41,12 @@ def candidate_selection(spark, d):
     return review.select_candidates(c, "label", "score", 0.6, 0.06).select("label", "vec_id", "ambiguous")
 
 
-@query("entity_resolution", """WITH RECURSIVE e AS (SELECT vec_id AS id, label, CASE WHEN vec_id % 3 = 0 THEN 'OTHER' WHEN vec_id % 3 = 1 THEN 'A' ELSE 'B' END AS type, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 300),
+@query("entity_resolution", """WITH RECURSIVE e AS (SELECT vec_id AS id, label, CASE WHEN vec_id % 3 = 0 THEN 'OTHER' WHEN vec_id % 3 = 1 THEN 'A' ELSE 'B' END AS type, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     l AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id < b.id AND (a.type = b.type OR a.type = 'OTHER' OR b.type = 'OTHER') WHERE list_cosine_similarity(a.v, b.v) >= 0.85), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(id, t) AS (SELECT id, id FROM e UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.t)
     SELECT id, min(t) AS entity FROM r GROUP BY id""")
 def entity_resolution(spark, d):
     t = F.when(F.col("vec_id") % 3 == 0, "OTHER").when(F.col("vec_id") % 3 == 1, "A").otherwise("B")
-    e = table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), t.alias("type"), F.col("embedding").alias("vector"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), t.alias("type"), F.col("embedding").alias("vector"))
     return review.resolve_entities(e)
 
 
@@ -201,10 +201,10 @@ def user_flow_steps(spark, d):
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "event_type"))), lambda x: x["event_type"]), ">").alias("flow"))
 
 
-@query("read_only_graph_sql", f"WITH {PART_EDGES} SELECT dst, count(*) AS n FROM edges WHERE src <= 100 GROUP BY dst HAVING count(*) > 1")
+@query("read_only_graph_sql", f"WITH {PART_EDGES} SELECT dst, count(*) AS n FROM edges GROUP BY dst HAVING count(*) > 1")
 def read_only_graph_sql(spark, d):
     """Ad-hoc read-only SQL over nodes and edges views."""
-    return review.read_only_sql(spark, "SELECT dst, count(*) AS n FROM edges WHERE src <= 100 GROUP BY dst HAVING count(*) > 1", edges=part_edges(spark, d))
+    return review.read_only_sql(spark, "SELECT dst, count(*) AS n FROM edges GROUP BY dst HAVING count(*) > 1", edges=part_edges(spark, d))
 
 
 @query("json_patch_apply", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'patched2' WHEN p_partkey % 2 = 0 THEN 'patched1' ELSE p_type END AS kind FROM part")

@@ -52,6 +52,7 @@ def upsert_sink(path: str, key: str, version: str) -> Callable[[DataFrame, int],
 
 def sync(seen: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:
     """Incremental sync of one run against what is known: (key, action) with insert, update, delete or keep."""
-    j = seen.select(key, F.col(digest).alias("new")).join(known.select(key, F.col(digest).alias("old")), key, "full_outer")
-    action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("new") != F.col("old"), "update").otherwise("keep")
+    j = seen.select(key, F.col(digest).alias("new"), F.lit(True).alias("is_new")).join(known.select(key, F.col(digest).alias("old"), F.lit(True).alias("is_old")), key, "full_outer")
+    same = F.col("new").eqNullSafe(F.col("old"))
+    action = F.when(F.col("is_old").isNull(), "insert").when(F.col("is_new").isNull(), "delete").when(~same, "update").otherwise("keep")
     return j.select(key, action.alias("action"))
