@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import shared_dir
+
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a step to the folder in spark.checkpoint.dir (a temporary one where it is unset) and read it back, so plans stay short and lost executors cost nothing."""
+    """Write a step to the folder in spark.checkpoint.dir and read it back, so plans stay short and lost executors cost nothing."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.shared.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("quarry.shared.dir", root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import scalars
 from quarry.plans.registry import query
+from quarry.session import shared_dir
 from quarry.sources import reports, web
 from quarry.sources.tables import table
 from quarry.streaming import events as streams
@@ -58,8 +57,7 @@ def streaming_idempotent_counts(spark, d):
 
     e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
     e = streams.idempotent(e.withColumn("ts", F.col("ts").cast("timestamp")), delay="60 days")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")).rstrip("/")
-    out = f"{root}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = e.select("event_id", "event_type").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -161,12 +161,15 @@ def fitness_coupling_rule(spark, d):
     return j.select("a", "b", F.when(F.col("jaccard") >= 0.09, "high").otherwise("medium").alias("severity"))
 
 
-@query("fitness_cycles")
+@query("fitness_cycles", f"""WITH RECURSIVE {PART_EDGES}, m AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS entity FROM part),
+    e AS (SELECT a.entity AS src, b.entity AS dst FROM edges JOIN m a ON src = a.id JOIN m b ON dst = b.id WHERE a.entity <> b.entity GROUP BY 1, 2 HAVING count(*) >= 2),
+    r(x, y) AS (SELECT src, dst FROM e UNION SELECT r.x, e.dst FROM r JOIN e ON e.src = r.y),
+    c AS (SELECT f.x AS id, max(greatest(f.x, f.y)) AS component FROM r f JOIN r g ON f.x = g.y AND f.y = g.x WHERE f.x <> f.y GROUP BY f.x) SELECT component, count(*) AS size FROM c GROUP BY component""")
 def fitness_cycles(spark, d):
-    """Dependency cycles between components: strongly connected entities of the lifted graph, with sizes."""
-    m = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit("/"), "p_type").alias("name"))
-    ids = m.select("name").distinct().select(F.abs(F.xxhash64("name")).alias("entity"), "name")
-    e = graphs.lift(part_edges(spark, d), m.join(ids, "name").select("id", "entity")).where("weight >= 2").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    """Dependency cycles between components: strongly connected entities of the lifted graph (known by their least part), with sizes."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type")
+    entities = p.groupBy("p_brand", "p_type").agg(F.min("id").alias("entity"))
+    e = graphs.lift(part_edges(spark, d), p.join(entities, ["p_brand", "p_type"]).select("id", "entity")).where("weight >= 2").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return iterate.strongly_connected(e).groupBy("component").agg(F.count("*").alias("size"))
 
 

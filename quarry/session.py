@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +24,15 @@ def build_session(app: str = "quarry", cores: int | None = None, shuffle_partiti
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a temporary one; a cluster, whose machines don't share such folders, an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.shared.dir", None)
+    if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("quarry.shared.dir", path)
+    return path.rstrip("/")
