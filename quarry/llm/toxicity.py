@@ -2,12 +2,12 @@
 
 Features are the distinct character n-grams (code points, A-Z lower-cased) of a whole text, hashed into 2**bits bins.
 Log-count ratios come from counts over every labelled training row, summed by Spark. Logistic weights over the scaled
-features are fitted on a bounded sample of those rows: the `max_train` rows least by a hash of their id (a documented
-parameter). Every text is then scored in Arrow batches with the weights, 2**bits floats, broadcast.
+features are fitted on a bounded sample of those rows: the `max_train` rows least by hashes of their id and text, equal rows
+once (a documented parameter). Every text is then scored in Arrow batches with the weights, 2**bits floats, broadcast.
 
 Cases: null and empty texts have no feature and get the score of the bias; rows without a label, or with a null label,
 are not trained on; several labels of a document count each; with no labels of one class every score is the share of
-label 1; an empty table gives an empty result; other columns are ignored. Labels, lang, source and id are never inputs.
+label 1; a row with a null id is not held out; an empty table gives an empty result; other columns are ignored. Labels, lang, source and id are never inputs.
 """
 
 from __future__ import annotations
@@ -105,8 +105,10 @@ def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS,
     labels = stage(labels.select("doc_id", F.col("y").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null"), "toxic-labels")
     marked = docs.select("doc_id", "text").join(F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels, "doc_id")
     ratio = spark.sparkContext.broadcast(log_ratio(marked, orders, bits, alpha))
-    chosen = labels.join(docs.select("doc_id"), "doc_id", "left_semi").select(F.xxhash64("doc_id").alias("k"), "doc_id", "y").orderBy("k", "y").limit(max_train)
-    sample = docs.select("doc_id", "text").join(F.broadcast(stage(chosen, "toxic-sample")), "doc_id")
+    keyed = marked.select(F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("h"), "y", "text")
+    chosen = stage(keyed.select("k", "h", "y").distinct().orderBy("k", "h", "y").limit(max_train), "toxic-sample")
+    # an id may be in many rows; of equal rows one is learnt from, so no more than max_train texts meet
+    sample = keyed.join(F.broadcast(chosen), ["k", "h", "y"], "left_semi").dropDuplicates(["k", "h", "y"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = Grams(orders, bits)
@@ -135,4 +137,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tra
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     known = labels.where(~out).select("doc_id", F.col("toxic").alias("y"))
     scored = score(docs, train(docs, known, max_train=max_train))
-    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
