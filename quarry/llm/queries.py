@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, html, linededup, media, mixing, neardup, quality, sentencepiece, sharding, toxicity
+from quarry.llm import audit, chat, exact, html, linededup, media, mixing, neardup, quality, sentencepiece, sharding, toxicity, whiten
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_media_columns, op8_sentencepiece, op9_line_dedup, op10_toxicity)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(documents(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_sharding, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_media_columns, op8_sentencepiece, op9_line_dedup, op10_toxicity, op11_exact_dedup, op12_embedding_whitening, op13_filter_audit)}
 
 ORACLES = {
     "op2_near_dedup": """
@@ -79,4 +91,33 @@ ORACLES = {
         r AS (SELECT conv_id, n, n_equal, array_to_string(list_transform(turns, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || chr(10) || '<|end|>'), chr(10)) AS rendered FROM k)
         SELECT conv_id, n AS n_turns, n_equal, CAST(length(rendered) AS BIGINT) AS n_chars, rendered FROM r
     """,
+    "op11_exact_dedup": """
+        WITH r AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        ends AS (SELECT min(doc_id) AS low, max(doc_id) AS high FROM documents)
+        SELECT r.doc_id, g.keep_id, g.n AS group_size, r.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(r.text) AS text_sha256, coalesce(r.doc_id > (low + high) // 2, false) AS in_history
+        FROM r JOIN (SELECT text, max(doc_id) AS keep_id, count(*) AS n FROM r GROUP BY text) AS g USING (text), ends
+    """,
+    "op13_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                     || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 'C' ELSE '' END
+                     || CASE WHEN length(translate(t, '#$%&*|', '')) < length(t) THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+              FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        a(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM a, a AS b, a AS c, a AS d, a AS e
+              WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, fails, n, good, toxic,
+                     contains(fails, substr(filter_order, step, 1)) AS hit, translate(fails, substr(filter_order, 1, step - 1), '') <> fails AS gone
+              FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        m AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+                     coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails,
+                     coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost
+              FROM s GROUP BY part, filter_order, step, x)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM m
+    """,
 }
