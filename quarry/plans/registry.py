@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quarry.plans import events, graph, history, retrieval, review, scope  # noqa: E402, F401
+from quarry.plans import architecture, events, graph, history, retrieval, review, scope  # noqa: E402, F401
