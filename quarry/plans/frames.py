@@ -33,12 +33,12 @@ FILES = "SELECT p_partkey AS file, p_brand AS container, p_brand || '/' || p_typ
 def part_edges(spark: SparkSession, d: str) -> DataFrame:
     """Directed part graph: p1 -> p2 for adjoining lines of one order (p1 before p2), plus p2 -> p1 where (p1 + p2) mod 5 = 0."""
     l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))  # noqa: E741
-    e = l.join(l.select("l_orderkey", (F.col("n") - 1).alias("n"), F.col("p").alias("q")), ["l_orderkey", "n"]).where("p <> q and (p * 7 + q) % 4 = 0")
+    e = l.join(l.select("l_orderkey", (F.col("n") - 1).alias("n"), F.col("p").alias("q")), ["l_orderkey", "n"]).where("p <> q")
     back = e.where("(p + q) % 5 = 0").select(F.col("q").alias("src"), F.col("p").alias("dst"))
     return e.select(F.col("p").alias("src"), F.col("q").alias("dst")).union(back).distinct()
 
 
-PART_EDGES = """e0 AS (SELECT a.l_partkey AS p, b.l_partkey AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE a.l_partkey <> b.l_partkey AND (a.l_partkey * 7 + b.l_partkey) % 4 = 0),
+PART_EDGES = """e0 AS (SELECT a.l_partkey AS p, b.l_partkey AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE a.l_partkey <> b.l_partkey),
     edges AS (SELECT p AS src, q AS dst FROM e0 UNION SELECT q, p FROM e0 WHERE (p + q) % 5 = 0)"""
 
 
