@@ -129,7 +129,7 @@ def node() -> Column:
 
 
 def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, u (the set), the bucket keys of its bands and 8 bits of each position (empty for an empty set)."""
+    """doc_id, text_hash, n_shingles, u (the set), the bucket keys of its bands and 8 bits of each position (empty for an empty set)."""
 
     def f(part: pa.RecordBatch) -> dict:
         h, sizes = shingles(part.column("text"), words)
@@ -143,8 +143,8 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         short[:, : bands * rows] = (sig.reshape(len(sizes), -1) & U(255)).astype(np.uint8)
         return set_hashes(h, sizes) | {"bands": lists(key), "short": lists(short.view(np.int64))}
 
-    out = map_texts(docs, f, "n_shingles long, set_a long, set_b long, bands array<long>, short array<long>", ["doc_id"], limit=2 << 20)
-    return out.select("doc_id", "n_shingles", node(), "bands", "short")
+    out = map_texts(docs, f, "n_shingles long, set_a long, set_b long, bands array<long>, short array<long>", ["doc_id", "text_hash"], limit=2 << 20)
+    return out.select("doc_id", "text_hash", "n_shingles", node(), "bands", "short")
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
@@ -179,9 +179,10 @@ def verify(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, slack: float = 0.14) -> DataFrame:
     """Pairs whose signatures agree in a share of positions under percent / 100 - slack (over three deviations) are not verified.
 
-    Per row of docs: doc_id, n_shingles, component_id (the least id reachable over links), kept, n_links (links found from its set's node)."""
+    Per row of docs: doc_id, n_shingles, component_id (the least id reachable over links), kept, n_links (links found from its set's node)
+    and text_hash, which tells rows that repeat an id with other texts."""
     bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = stage(sign(docs, words, bands, rows), "neardup-signed")
     nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("u").agg(F.min("doc_id").alias("first"), F.first(F.struct("bands", "short")).alias("sign"))
     nodes = stage(nodes.select("u", "first", "sign.*"), "neardup-nodes")
@@ -201,6 +202,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     label = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("u", "component_id")
     degree = links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
     label = nodes.select("u", "first").join(label, "u", "left").join(degree, "u", "left").select("u", F.coalesce("component_id", "first").alias("component_id"), "n_links")
-    out = signed.select("doc_id", "n_shingles", "u").join(label, "u", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "u").join(label, "u", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash")

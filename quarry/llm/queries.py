@@ -16,7 +16,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), words=4).drop("n_links")
+    return neardup.near_duplicates(documents(spark, sf_dir), words=4).drop("n_links", "text_hash")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

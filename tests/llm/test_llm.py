@@ -460,6 +460,31 @@ def test_pipeline_stages(spark, odd):
     assert sorted(str(r[0]) for r in kept) == sorted(["1", "2", "3", "4", "5", "6", "None"])
 
 
+CLASHES = "_hash _kept _doc_id _id _times _k pipeline_hash pipeline_id line_hash line_kept LINE_DOC u root text_hash kept size target lang2".split()
+
+
+def test_pipeline_stages_with_clashing_columns(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit("own "), F.coalesce("text", F.lit("none")).substr(1, 3)))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert {r[c] for c in CLASHES} and all(r[c].startswith("own ") for c in CLASHES), name
+
+
+def test_pipeline_near_dedup_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(0, b, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, "x y", "en", "s", 2), (2, "x y", "de", "s", 1), (2, "x y", "de", "r", 9), (None, a, "en", "s", 1), (None, None, "en", "s", 1)]
+    got = sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), SF).collect()), key=str)
+    assert got == sorted([(0, b, "en", "s"), (1, a, "en", "s"), (2, "x y", "de", "r"), (None, None, "en", "s")], key=str)
+
+
 def test_media_reader_survives_any_bytes():
     rng = random.Random(3)
     blob = media.write_container(media.pad(b"some text " * 700))
