@@ -9,17 +9,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm import linededup, mixing, neardup, quality, sentencepiece
-from quarry.llm.shared import stage
+from quarry.llm.shared import spare, stage
 
 ORACLE_SQL = None
 
 
+def matching(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """docs joined with rows of (id, hash of the text, ...) that belong to them; null ids match null ids."""
+    i, h = other.columns[:2]
+    return docs.join(other, docs["doc_id"].eqNullSafe(other[i]) & (F.xxhash64(docs["text"]) == other[h]), how)
+
+
+def named(docs: DataFrame, *names: str) -> list[str]:
+    """Internal column names that docs doesn't have."""
+    return [spare(docs, f"pipeline_{n}") for n in names]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the perplexity bands reject go. Rows are matched by id (null too) and text."""
-    kept = quality.quality(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64("text") == kept["_hash"]), "left_semi")
+    kept = quality.quality(docs).where("kept").select("doc_id", "text_hash").distinct().toDF(*named(docs, "id", "hash"))
+    return matching(docs, kept, "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +40,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id. Repeated rows become one."""
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rest.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+    """One document of each group of near duplicates stays: the one with the least id, told by id and text.
+
+    Of rows that repeat an id and a text one stays, the first by its other columns; only such rows are shuffled whole.
+    """
+    i, h, n = named(docs, "id", "hash", "n")
+    kept = neardup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id", "text_hash").distinct().toDF(i, h)
+    rest = matching(docs, kept, "left_semi")
+    keyed = rest.withColumn(h, F.xxhash64("text"))
+    repeated = stage(keyed.groupBy(F.col("doc_id").alias(i), h).count().where("count > 1").select(i, h), "pipeline-repeated")
+    if repeated.isEmpty():
+        return rest.select(docs.columns)
+    order = Window.partitionBy("doc_id", h).orderBy(*(c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map" not in kind), F.lit(0))
+    several = matching(rest, repeated, "left_semi").withColumn(h, F.xxhash64("text")).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return matching(rest, repeated, "left_anti").select(docs.columns).union(several.select(docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, once for each time it reads them (whole, also where it stops within one); others go."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"), F.col("text_hash").alias("_hash"))
-    taken = taken.groupBy("_id", "_hash").agg(F.max("_times").alias("_times"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64("text") == taken["_hash"]))
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    i, h, times, k = named(docs, "id", "hash", "times", "k")
+    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "text_hash").agg(F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("times")).toDF(i, h, times)
+    return matching(docs, taken, "inner").withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
