@@ -55,16 +55,6 @@ def fixed_chunks(docs: DataFrame, size: int = 1500, overlap: int = 200) -> DataF
     return rows.select("doc_id", "chunk_index", chunk.alias("chunk")).withColumn("chunk_hash", F.sha2("chunk", 256))
 
 
-def header_chunks(docs: DataFrame) -> DataFrame:
-    """Sections of a text that begin at markdown headers: doc_id, chunk_index, chunk."""
-    return docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", r"(?m)(?=^#{1,6} )")).alias("chunk_index", "chunk")).where("trim(chunk) <> ''")
-
-
-def code_blocks(docs: DataFrame) -> DataFrame:
-    """Fenced blocks: doc_id, block_index, block."""
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)```.*?```"), F.lit(0))).alias("block_index", "block"))
-
-
 def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Content-hash maintenance: (doc_id, chunk_hash, status) with status add, delete or keep, in one full outer join."""
     a = old.select("doc_id", "chunk_hash").distinct().withColumn("o", F.lit(1))

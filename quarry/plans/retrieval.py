@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.vectors import cosine, jaccard
-from quarry.operators import search
+from quarry.operators import chunking, search
 from quarry.plans.registry import query
 from quarry.sources.tables import table
 
@@ -51,6 +51,31 @@ def chunk_details(spark, d):
     return search.fixed_chunks(docs).join(docs.select("doc_id", "source", "lang"), "doc_id").select("doc_id", F.col("chunk_index").cast("long"), "chunk_hash", "source", "lang")
 
 
+@query("document_chunks")
+def document_chunks(spark, d):
+    """Recursive chunks of every document with whole fences; tested by brute force on whole documents."""
+    return chunking.document_chunks(table(spark, d, "documents"), ["doc_id"]).select("doc_id", "chunk_index", F.char_length("content").alias("n_chars"), "chunk_hash")
+
+
+@query("header_sections")
+def header_sections(spark, d):
+    """Documents with their first line as a header, cut at headers and then by size; tested by brute force."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), F.regexp_replace("text", "\n\n", "\n## part\n")).alias("text"))
+    return chunking.header_chunks(docs, ["doc_id"]).select("doc_id", "chunk_index", "headers", "chunk_hash")
+
+
+@query("symbol_chunks", """WITH f AS (SELECT l_orderkey, l_linenumber, 'def line_' || l_linenumber || '():' || chr(10) || '    return ' || l_partkey AS body FROM lineitem),
+    n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, body) - 1 AS chunk_index, 'line_' || l_linenumber AS symbol_name, 'function' AS symbol_kind, body FROM f)
+    SELECT l_orderkey, CAST(chunk_index AS INTEGER) AS chunk_index, symbol_name, symbol_kind, sha256(body) AS chunk_hash FROM n
+    UNION ALL SELECT l_orderkey, CAST(count(*) AS INTEGER), '__module__', 'module', sha256('import shop') FROM f GROUP BY l_orderkey""")
+def symbol_chunks(spark, d):
+    """An order as a Python module with a function a line, chunked at the borders of its functions."""
+    body = F.concat(F.lit("def line_"), "l_linenumber", F.lit("():\n    return "), "l_partkey")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", body.alias("body")))).alias("f"))
+    files = lines.select("l_orderkey", F.concat(F.lit("orders/o"), "l_orderkey", F.lit(".py")).alias("path"), F.concat(F.lit("import shop\n\n\n"), F.array_join(F.transform("f", lambda x: x["body"]), "\n\n\n")).alias("content"))
+    return chunking.symbol_chunks(files, ["l_orderkey"]).select("l_orderkey", "chunk_index", "symbol_name", "symbol_kind", "chunk_hash")
+
+
 @query("chunk_hash_diff", """WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 200) / 1300.0), 1) AS BIGINT))) AS i FROM documents WHERE text IS NOT NULL),
     o AS (SELECT DISTINCT doc_id, sha256(substr(text, i * 1300 + 1, 1500)) AS chunk_hash FROM c),
     m AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL),
