@@ -520,3 +520,60 @@ def test_html_keeps_sections_of_the_article(spark):
     )
     rows = spark.createDataFrame([(1, "http://a.b/1", page)], "page_id long, url string, html string")
     assert html.extract_pages(rows).first()["text"] == "Title\nWork that is related.\nBody."
+
+
+ARTICLE = "<article><h1>Title</h1><p>First words here.</p><p>More words here.</p></article>"
+BODY = "<h1>Title</h1><p>First words here.</p><p>More words here.</p>"
+HIDDEN = "<nav>Home</nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout with-sidebar'>{HIDDEN}{ARTICLE}</div>",
+        f"<div class='site header-fixed'>{ARTICLE}<div class='sidebar'>aside</div></div>",
+        f"<div class='header'><main>{BODY}</main></div>",
+        f"<div class='page with-sidebar'>{BODY}</div><div class='sidebar'>aside</div>",
+        f"<div class='post-header'><h1>Title</h1></div><p>First words here.</p><p>More words here.</p>{HIDDEN}",
+        f"<article><h1 title=it's>Title</h1><img src='data:{'x' * 5000}'><p data-a=\"{'>' * 6000}\">First words here.</p><p a=b=c d = 'e>' f>More words here.</article>",
+        "<div>" * 400 + f"{ARTICLE}<nav><div>deep menu</div></nav><div class='menu'><ul><li>x</ul></div>" + "</div>" * 400,
+        "<div>" * 130 + f"<nav>deep <b>menu</b><p>x</p></nav>{ARTICLE}" + "</div>" * 130,
+        f"{ARTICLE}<div class='comment-list'><article class='comment'><p>{'a long comment ' * 30}</p></article></div>",
+        f"<div id='content' class='main-content'>{BODY}</div><div class='cookie-notice'>We use cookies</div><form>search</form>",
+    ],
+)
+def test_html_contract_cases(page):
+    assert html.main_text(f"<html><body>{page}<footer>end</footer></body></html>", None) == "Title\nFirst words here.\nMore words here."
+
+
+def test_broken_attributes_cost_linear_time():
+    began = time.time()
+    for bad in ("<a '", "<a b=\"", "<a b='\" ", "<p title=", "<a b=\"c' ", "<!-- ", "<a =", "<" * 3):
+        html.parse(bad * 60_000)
+    assert time.time() - began < 20
+
+
+def plain_blocks(tree):
+    """Text of a generated tree: nested (tag, class, kids or text), by the contract alone."""
+    tag, name, body = tree
+    if tag in ("nav", "footer", "aside", "form") or name in ("sidebar", "comments", "cookie-notice", "ad"):
+        return []
+    return [" ".join(body.split())] if isinstance(body, str) else [x for kid in body for x in plain_blocks(kid)]
+
+
+def test_html_matches_plain_extraction_of_generated_pages(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    mark = lambda tree: f"<{tree[0]}" + (f" class='{tree[1]}'" if tree[1] else "") + ">" + (tree[2] if isinstance(tree[2], str) else "".join(map(mark, tree[2]))) + f"</{tree[0]}>"
+    rows, want = [], {}
+    for i in range(60):
+        parts = [("h1", "", f"T {word()}")]
+        for _ in range(rng.randrange(2, 9)):
+            kind = rng.randrange(6)
+            parts.append([("p", "", f" {word()}  {word()}\n{word()} "), ("ul", "", [("li", "", word()), ("li", "x", word())]), ("div", "note", [("p", "", word())]), ("aside", "", word()), ("div", "ad", [("p", "", word())]), ("blockquote", "", [("p", "", word()), ("p", "", word())])][kind])
+        layout = ("div", "layout with-sidebar", [("nav", "", [("ul", "", [("li", "", "Home")])]), ("article", "", parts), ("div", "sidebar", [("p", "", word())])]) if i % 2 else ("main", "", parts)
+        tree = ("body", "", [("header", "", "Site"), layout, ("div", "comments", [("p", "", word())]), ("div", "cookie-notice", "ok"), ("footer", "", "end")])
+        rows.append((i, f"http://h{i % 3}/{i}", "<html>" + mark(tree) + "</html>"))
+        want[i] = "\n".join(x for x in plain_blocks(layout))
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
