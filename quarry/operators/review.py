@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.scalars import clamp
-from quarry.functions.vectors import cosine
 from quarry.operators.iterate import bfs, connected_components, materialize, undirected
+from quarry.operators.vectorindex import similar_pairs
 
 #: Keywords that make a statement write.
 WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace|set|call|load|refresh|cache|use|grant)\b", re.I)
@@ -55,10 +55,10 @@ def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def resolve_entities(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Of (id, block, type, vector): (id, entity) by closing similar pairs of one block with agreeing types; entity is the least id."""
-    b = entities.select(F.col("id").alias("id2"), "block", F.col("type").alias("type2"), F.col("vector").alias("v2"))
-    fits = (F.col("type") == F.col("type2")) | (F.col("type") == "OTHER") | (F.col("type2") == "OTHER")
-    pairs = entities.join(b, "block").where((F.col("id") < F.col("id2")) & fits & (cosine(F.col("vector"), F.col("v2")) >= threshold))
-    cc = connected_components(pairs.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
+    fits = (F.col("ta") == F.col("tb")) | (F.col("ta") == "OTHER") | (F.col("tb") == "OTHER")
+    pairs = similar_pairs(entities, threshold, 16, "id", "vector", "block")
+    pairs = pairs.join(entities.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(entities.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b").where(fits)
+    cc = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return entities.select("id").join(cc, "id", "left").select("id", F.coalesce("component", "id").alias("entity"))
 
 

@@ -22,7 +22,9 @@ def top_ranked(df: DataFrame, k: int, rank: str, *order: Column) -> DataFrame:
 
 def full_text(docs: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
     """id, fts_score, fts_rank of documents that hold all terms, by term frequency over length. Key last, so ranks are stable."""
-    t = docs.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t")).where(" and ".join(f"array_contains(t, '{x}')" for x in terms))
+    t = docs.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t"))
+    for x in terms:
+        t = t.where(F.array_contains("t", x))
     hits = F.size(F.filter("t", lambda x: x.isin(terms)))
     scored = t.select("id", (hits / F.size("t")).alias("fts_score"))
     return top_ranked(scored, k, "fts_rank", F.desc("fts_score"), F.col("id"))
