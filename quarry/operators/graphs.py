@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.intervals import narrowest
+
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are nodes (id)."""
@@ -75,7 +77,5 @@ def drift(base: DataFrame, now: DataFrame, key: str, value: str, least: float) -
 
 
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Narrowest range of the same file that holds each point: (point, range_id). Equi-join on the file, range predicate as residual."""
-    j = points.join(ranges, "file").where("at between lo and hi")
-    best = F.min_by("range_id", F.struct((F.col("hi") - F.col("lo")).alias("w"), "range_id"))
-    return j.groupBy("point").agg(best.alias("range_id"))
+    """Narrowest range of the same file that holds each point: (point, range_id), by dyadic blocks."""
+    return narrowest(points, ranges).select("point", "range_id")

@@ -52,20 +52,56 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFr
     return found.withColumn("relevance", 1.0 - 0.2 * F.col("level"))
 
 
+def shortest_dag(edges: DataFrame, start: int, goal: int, max_hops: int) -> tuple[int, DataFrame] | None:
+    """Length of the shortest paths from start to goal and the edges (hop, src, dst) that lie on one of them; None beyond max_hops.
+
+    Two frontiers grow towards each other, always the smaller one next; levels are kept, not paths. Where they meet, the
+    edges between neighbouring levels are walked back to both ends, so every edge that comes out lies on a whole shortest path.
+    """
+    spark = edges.sparkSession
+    edges = edges.select("src", "dst")
+    ways = {"f": edges, "b": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
+    seen = {side: spark.createDataFrame([(node, 0)], "id long, d int") for side, node in (("f", start), ("b", goal))}
+    depth, width = {"f": 0, "b": 0}, {"f": 1, "b": 1}
+    met = None if start != goal else seen["f"].select("id")
+    while met is None:
+        if depth["f"] + depth["b"] == max_hops:
+            return None
+        side = min("fb", key=lambda x: width[x])
+        other = "b" if side == "f" else "f"
+        front = seen[side].where(F.col("d") == depth[side])
+        step = ways[side].join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct()
+        fresh = materialize(step.join(seen[side], "id", "left_anti").withColumn("d", F.lit(depth[side] + 1)))
+        seen[side] = seen[side].union(fresh)
+        depth[side], width[side] = depth[side] + 1, fresh.count()
+        if not width[side]:
+            return None
+        both = materialize(fresh.join(seen[other].where(F.col("d") == depth[other]), "id", "left_semi").select("id"))
+        met = None if both.isEmpty() else both
+    hops, parts = depth["f"] + depth["b"], []
+    for side in "fb":
+        nodes = met
+        for d in range(depth[side] - 1, -1, -1):  # towards the side's own end
+            near = seen[side].where(F.col("d") == d).select(F.col("id").alias("src"))
+            step = materialize(ways[side].join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").join(near, "src", "left_semi").distinct())
+            parts.append(step.select(F.lit(d if side == "f" else hops - 1 - d).alias("hop"), *(("src", "dst") if side == "f" else (F.col("dst").alias("src"), F.col("src").alias("dst")))))
+            nodes = step.select(F.col("src").alias("id")).distinct()
+    out = parts[0] if parts else edges.select(F.lit(0).alias("hop"), "src", "dst").limit(0)
+    for p in parts[1:]:
+        out = out.union(p)
+    return hops, materialize(out)
+
+
 def shortest_path(edges: DataFrame, start: int, goal: int, max_hops: int) -> DataFrame:
     """One row (hops, path) if goal is within max_hops of start; of equally short paths the one with the least ids."""
     spark = edges.sparkSession
-    front = spark.createDataFrame([(start, [start])], "id long, path array<long>")
-    seen = front.select("id")
-    for hops in range(max_hops + 1):
-        hit = front.where(F.col("id") == goal)
-        if not hit.isEmpty():
-            return hit.select(F.lit(hops).alias("hops"), "path")
-        step = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        front = materialize(step)
-        seen = materialize(seen.union(front.select("id")))
-    return spark.createDataFrame([], "hops int, path array<long>")
+    found = shortest_dag(edges, start, goal, max_hops)
+    if found is None:
+        return spark.createDataFrame([], "hops int, path array<long>")
+    path = [start]
+    for hop in range(found[0]):  # one row a hop
+        path.append(found[1].where((F.col("hop") == hop) & (F.col("src") == path[-1])).agg(F.min("dst")).first()[0])
+    return spark.createDataFrame([(found[0], path)], "hops int, path array<long>")
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, cut: DataFrame, max_hops: int, fan_out: int) -> DataFrame:

@@ -43,6 +43,19 @@ def shortest_path(spark, d):
     return iterate.shortest_path(part_edges(spark, d), 1, 40, 3).select("hops")
 
 
+@query("shortest_path_edges", f"""WITH {PART_EDGES}, f1 AS (SELECT DISTINCT dst AS id FROM edges WHERE src = 1), f2 AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM f1) AND dst <> 1 AND dst NOT IN (SELECT id FROM f1)),
+    b1 AS (SELECT DISTINCT src AS id FROM edges WHERE dst = 40), b2 AS (SELECT DISTINCT src AS id FROM edges WHERE dst IN (SELECT id FROM b1)),
+    k AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM b1 WHERE id = 1) THEN 1 WHEN EXISTS (SELECT 1 FROM b1 WHERE id IN (SELECT id FROM f1)) THEN 2 WHEN EXISTS (SELECT 1 FROM b1 WHERE id IN (SELECT id FROM f2)) THEN 3 END AS hops)
+    SELECT 0 AS hop, src, dst FROM edges, k WHERE src = 1 AND (hops = 1 AND dst = 40 OR hops = 2 AND dst IN (SELECT id FROM b1) OR hops = 3 AND dst IN (SELECT id FROM b2))
+    UNION SELECT 1, src, dst FROM edges, k WHERE src IN (SELECT id FROM f1) AND (hops = 2 AND dst = 40 OR hops = 3 AND dst IN (SELECT id FROM b1) AND dst IN (SELECT id FROM f2))
+    UNION SELECT 2, src, dst FROM edges, k WHERE hops = 3 AND src IN (SELECT id FROM f2) AND dst = 40""")
+def shortest_path_edges(spark, d):
+    """All edges on the shortest paths from part 1 to part 40, three hops at most."""
+    edges = part_edges(spark, d)
+    found = iterate.shortest_dag(edges, 1, 40, 3)
+    return found[1] if found else edges.select(F.lit(0).alias("hop"), "src", "dst").limit(0)
+
+
 @query("connected_components", f"""WITH RECURSIVE {PART_EDGES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(id, to_) AS (SELECT src, src FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.to_)
     SELECT id, min(to_) AS component FROM r GROUP BY id""")
 def connected_components(spark, d):
