@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.operators import graphs, iterate
 from quarry.plans.frames import KINDS, PART_EDGES, kinds, part_edges
 from quarry.plans.registry import query
+from quarry.sources import symbolindex
 from quarry.sources.tables import table
 
 
@@ -170,6 +172,25 @@ def scenario_clone(spark, d):
     return e.select(F.col("s").alias("src"), F.col("t").alias("dst"))
 
 
+SYMBOL_LINES = "SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem"
+
+
+@query("symbol_index_relations", f"""WITH l AS ({SYMBOL_LINES})
+    SELECT DISTINCT 'o' || l_orderkey AS path, 'shop py shop 1 p' || l_partkey || 'n' || n || '().' AS source, 'calls' AS kind, 'shop py shop 1 s' || l_suppkey || '#' AS target FROM l""")
+def symbol_index_relations(spark, d):
+    """An order as a binary symbol index (a function a line that uses its supplier), decoded into relations."""
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem_symbols")
+    lines = spark.sql(SYMBOL_LINES.replace("FROM lineitem", "FROM lineitem_symbols"))
+    files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "l_partkey", "l_suppkey"))).alias("own"))
+
+    @F.pandas_udf("binary")
+    def index(keys: pd.Series, own: pd.Series) -> pd.Series:
+        one = lambda k, rows: symbolindex.write_document(f"o{k}.py", [(f"shop py shop 1 p{r['l_partkey']}n{r['n']}().", 10 * r["n"], 5) for r in rows], [(f"shop py shop 1 s{r['l_suppkey']}#", 10 * r["n"] + 2, 8) for r in rows])
+        return pd.Series([one(k, rows) for k, rows in zip(keys, own, strict=True)])
+
+    return symbolindex.relations(symbolindex.decode(files.select(F.concat(F.lit("o"), "l_orderkey").alias("path"), index("l_orderkey", "own").alias("content"))))
+
+
 @query("range_containment_join", """WITH r AS (SELECT l_orderkey AS range_id, l_partkey AS file, epoch(l_shipdate) // 86400 AS lo, epoch(l_shipdate) // 86400 + l_quantity AS hi FROM lineitem WHERE l_linenumber = 1), p AS (SELECT l_orderkey * 10 + l_linenumber AS point, l_partkey AS file, epoch(l_shipdate) // 86400 AS pt FROM lineitem WHERE l_linenumber = 2)
     SELECT point, range_id FROM (SELECT point, range_id, row_number() OVER (PARTITION BY point ORDER BY hi - lo, range_id) AS k FROM p JOIN r USING (file) WHERE pt BETWEEN lo AND hi) WHERE k = 1""")
 def range_containment_join(spark, d):
