@@ -128,19 +128,19 @@ def node() -> Column:
     return F.xxhash64("set_a", "set_b", "n_shingles").alias("u")
 
 
-def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+def sign(docs: DataFrame, words: int, bands: int, rows: int, positions: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, u (the set), the bucket keys of its bands and 8 bits of each position (empty for an empty set)."""
 
     def f(part: pa.RecordBatch) -> dict:
         h, sizes = shingles(part.column("text"), words)
-        sig = superminhash(h, sizes, bands * rows).reshape(len(sizes), bands, rows)
+        whole = superminhash(h, sizes, positions)
+        sig = whole[:, : bands * rows].reshape(len(sizes), bands, rows)
         key = np.arange(bands, dtype=U)[None, :] + U(1)
         for i in range(rows):
             key = mix(key * STEP + sig[:, :, i])
         some = sizes > 0
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * x.shape[1])).astype(np.int32)), pa.array(x[some].reshape(-1).view(np.int64)))
-        short = np.zeros((len(sizes), -(-bands * rows // 8) * 8), np.uint8)
-        short[:, : bands * rows] = (sig.reshape(len(sizes), -1) & U(255)).astype(np.uint8)
+        short = (whole & U(255)).astype(np.uint8)
         return set_hashes(h, sizes) | {"bands": lists(key), "short": lists(short.view(np.int64))}
 
     out = map_texts(docs, f, "n_shingles long, set_a long, set_b long, bands array<long>, short array<long>", ["doc_id", "text_hash"], limit=2 << 20)
@@ -176,14 +176,14 @@ def verify(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     return joined.select(*names, "a", "b").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, slack: float = 0.14) -> DataFrame:
-    """Pairs whose signatures agree in a share of positions under percent / 100 - slack (over three deviations) are not verified.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, positions: int = 128, slack: float = 0.115) -> DataFrame:
+    """positions: of the signature, a multiple of 8; the first bands * rows give buckets. Pairs whose signatures agree in a share of them under percent / 100 - slack (over three deviations) are not verified.
 
     Per row of docs: doc_id, n_shingles, component_id (the least id reachable over links), kept, n_links (links found from its set's node)
     and text_hash, which tells rows that repeat an id with other texts."""
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = stage(sign(docs, words, bands, rows), "neardup-signed")
+    signed = stage(sign(docs, words, bands, rows, positions), "neardup-signed")
     nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("u").agg(F.min("doc_id").alias("first"), F.first(F.struct("bands", "short")).alias("sign"))
     nodes = stage(nodes.select("u", "first", "sign.*"), "neardup-nodes")
 
@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     wanted = docs.join(some(ids.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
     packed = stage(sets(wanted, words).join(some(ids.select("u")), "u", "left_semi").groupBy("u").agg(F.first("packed").alias("packed")), "neardup-sets")
 
-    least = int((percent / 100 - slack) * bands * rows) + -bands * rows % 8  # unused bytes always agree
-    short = [F.col("short")[i].alias(f"s{i}") for i in range(-(-bands * rows // 8))]
+    least = int((percent / 100 - slack) * positions)
+    short = [F.col("short")[i].alias(f"s{i}") for i in range(positions // 8)]
     signs = stage(nodes.join(some(ids.select("u")), "u", "left_semi").select("u", *short), "neardup-signs")
     links, roots = group_buckets(entries, signs, lambda pairs: verify(pairs, packed, percent), least, "neardup")
     firsts = roots.join(ids, "u")

@@ -89,6 +89,17 @@ def crowded(entries: DataFrame, name: str) -> DataFrame:
     return stage(dealt.join(sizes.select("bucket", "members").hint("shuffle_hash"), "bucket"), f"{name}-entries")
 
 
+def grown(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(node, root) after new links: components are nodes of a small graph, whose own components rename them."""
+    at = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv"]
+    short = links.join(ends[0], "u", "left").join(ends[1], "v", "left").select(at("u").alias("u"), at("v").alias("v")).where("u <> v")
+    new = stage(components(short, f"{name}-cc"), f"{name}-merged").select(F.col("node").alias("old"), F.col("root").alias("to"))
+    kept = roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = new.join(roots.select(F.col("node").alias("old")), "old", "left_anti").select("old", "to")
+    return stage(kept.union(fresh), f"{name}-roots")
+
+
 def group_buckets(entries: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], least: int, name: str, block: int = 256) -> tuple[DataFrame, DataFrame]:
     """The components of nodes that share buckets, without making all pairs of a bucket.
 
@@ -108,9 +119,8 @@ def group_buckets(entries: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
     mates = entries.groupBy("u").agg(F.sum("members").alias("mates"))
     hubs = entries.join(mates, "u").groupBy("bucket").agg(F.max(F.struct("mates", "u")).alias("hub")).select("bucket", F.col("hub.u").alias("v"))
     links = stage(verify(entries.join(hubs, "bucket").where("u <> v").select(*ends).distinct()), f"{name}-links")
-    most, spent = 8, None
+    most, spent, roots = 8, None, stage(components(links, f"{name}-cc"), f"{name}-roots")
     while True:
-        roots = stage(components(links, f"{name}-cc"), f"{name}-roots")
         state = entries.select("bucket", "u").join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
         parts = state.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
         parts = parts.agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("roots")).where("roots > 1")
@@ -132,9 +142,9 @@ def group_buckets(entries: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
         top = ranked.agg(F.max("rank")).first()[0] or 0
         if top:
             found = stage(verify(ranked.where(F.col("rank") <= most).select(*ends).distinct()), f"{name}-links")
-            links = stage(links.union(found).distinct(), f"{name}-links")
+            links, roots = links.union(found), grown(roots, found, name)
         if top <= most:
-            return links, (stage(components(links, f"{name}-cc"), f"{name}-roots") if top else roots).withColumnRenamed("node", "u")
+            return links, roots.withColumnRenamed("node", "u")
         done = asked.join(ranked.where(F.col("rank") > most).select("u"), "u", "left_anti")
         spent = stage(done if spent is None else spent.union(done), f"{name}-spent")
         most *= 64

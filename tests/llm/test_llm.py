@@ -577,3 +577,13 @@ def test_html_matches_plain_extraction_of_generated_pages(spark):
         want[i] = "\n".join(x for x in plain_blocks(layout))
     got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_grown_components_equal_a_fresh_start(spark):
+    from quarry.llm.shared import grown
+
+    rng = random.Random(17)
+    old, new = ([(rng.randrange(80), rng.randrange(80)) for _ in range(n)] for n in (40, 25))
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    got = sorted(map(tuple, grown(components(frame(old)), frame(new), "t").collect()))
+    assert got == sorted(map(tuple, components(frame(old + new)).collect()))
