@@ -78,14 +78,19 @@ def bfs_order(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return reached.join(F.broadcast(before), "level").select("id", (F.col("before") + inner - 1).alias("position"))
 
 
-def processes(edges: DataFrame, depth: int = 4, branch: int = 3, keep: int = 75) -> DataFrame:
-    """Longest simple paths from entry points (no edge in, edges out): (path, length); contained paths are dropped.
+def processes(edges: DataFrame, depth: int = 4, branch: int = 3, keep: int = 75, entries: int = 200) -> DataFrame:
+    """Longest simple paths from entry points: (path, length); contained paths are dropped.
 
-    Each node continues to its `branch` least targets, as the operator's definition bounds it.
+    Entry points have edges out and none in; where every node has one in, those with the fewest in, then the most out, then the
+    least ids; `entries` of them at most. Each node continues to its `branch` least targets, as the operator's definition bounds it.
     """
     out = edges.select("src", "dst").distinct()
     step_edges = materialize(out.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("r") <= branch).select("src", "dst"))
-    front = out.select("src").distinct().join(out.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.array("src").alias("path"))
+    ins = out.where("src <> dst").groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("n_in"))
+    outs = out.where("src <> dst").groupBy("src").agg(F.count("*").alias("n_out")).join(ins, "src", "left").na.fill(0, ["n_in"])
+    ranked = materialize(outs.orderBy("n_in", F.desc("n_out"), "src").limit(entries))
+    first = ranked.where("n_in = 0")
+    front = (ranked if first.isEmpty() else first).select(F.array("src").alias("path"))
     done = None
     for _ in range(depth - 1):
         grown = front.withColumn("at", F.element_at("path", -1)).join(step_edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))

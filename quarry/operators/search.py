@@ -42,12 +42,41 @@ def reciprocal_rank_fusion(fts: DataFrame, vec: DataFrame, k: int = 60) -> DataF
     return fts.join(vec, "id", "full_outer").withColumn("rrf_score", part("fts_rank") + part("vector_rank"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, terms: list[str], top_k: int = 20, pool: int = 50) -> DataFrame:
-    """id, rrf_score and both ranks of the best top_k; ties by full-text rank, vector rank, id."""
+def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, terms: list[str], top_k: int = 20, pool: int = 50, allowed: DataFrame | None = None) -> DataFrame:
+    """id, rrf_score and both ranks of the best top_k; ties by full-text rank, vector rank, id.
+
+    allowed (id): both searches rank these only, so what may not be seen takes no place in the pools.
+    """
+    if allowed is not None:
+        ids = allowed.select("id").distinct()
+        docs = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        vectors = vectors.join(ids.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
     fused = reciprocal_rank_fusion(full_text(docs, terms, pool), vector_search(vectors, query, pool))
     return fused.orderBy(F.desc("rrf_score"), F.col("fts_rank").asc_nulls_last(), F.col("vector_rank").asc_nulls_last(), "id").limit(top_k)
 
 
+def mean_vectors(vectors: DataFrame, key: str, vec_col: str = "embedding") -> DataFrame:
+    """key, n_members and embedding (the mean over members, place by place)."""
+    cells = vectors.select(key, F.posexplode(vec_col).alias("i", "x"))
+    means = cells.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    out = means.groupBy(key).agg(F.max("n").alias("n_members"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
+    return out.select(key, "n_members", F.transform("m", lambda r: r["x"]).alias("embedding"))
+
+
+def relevant_communities(communities: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """The k communities (with an embedding) most similar to the one row of query (q), with their relevance; ties by id. None is made up where there are none."""
+    scored = communities.where("embedding is not null").crossJoin(F.broadcast(query)).withColumn("relevance", cosine(F.col("embedding"), F.col("q")))  # one query row
+    return top_ranked(scored.drop("embedding", "q"), k, "rank", F.desc("relevance"), F.col("community"))
+
+
+def search_nodes(hits: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
+    """File nodes (id, natural_key) that search hits (uri, rank) name: by the whole address or by its path below the host; the best ranks first."""
+    path = F.regexp_replace(F.regexp_replace("uri", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/", ""), r"[?#].*$", "")
+    keys = hits.where("uri is not null").select("rank", F.explode(F.array_distinct(F.array(F.col("uri"), path))).alias("natural_key"))
+    found = keys.join(nodes.select("id", "natural_key"), "natural_key").groupBy("id").agg(F.min("rank").alias("rank"))
+    return found.orderBy("rank", "id").limit(limit)
+
+
 def fixed_chunks(docs: DataFrame, size: int = 1500, overlap: int = 200) -> DataFrame:
     """doc_id, chunk_index, chunk, chunk_hash: windows of size characters that overlap."""
     step = size - overlap

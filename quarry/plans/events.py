@@ -11,6 +11,7 @@ from quarry.session import shared_dir
 from quarry.sources import reports, web
 from quarry.sources.tables import table
 from quarry.streaming import events as streams
+from quarry.streaming import state
 
 
 def _events(spark, d):
@@ -92,6 +93,15 @@ def source_version_state(spark, d):
     return _events(spark, d).where("event_type = 'purchase'").select("user_id", "event_id", F.when(F.row_number().over(w) == 1, "ready").otherwise("stale").alias("state"))
 
 
+@query("version_timeouts", """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 END AS r FROM events WHERE event_type <> 'signup'),
+    l AS (SELECT key, ts, r FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, r DESC) AS n FROM t) WHERE n = 1)
+    SELECT key, CASE WHEN r = 2 AND epoch_ms(ts) + 3600000 < (SELECT max(epoch_ms(ts)) FROM t) THEN 'timed_out' ELSE ['queued', 'started', 'failed', 'ready'][r] END AS status, ts AS since FROM l""")
+def version_timeouts(spark, d):
+    """The state of each user's version by its latest transition; started ones end after an hour. The streaming form gives the same answer."""
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "ready")
+    return state.version_states_batch(_events(spark, d).select(F.col("user_id").alias("key"), "ts", status.alias("status")), 3600)
+
+
 @query("incremental_sync", """WITH s AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 5 <> 0), k AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0)
     SELECT action, count(*) AS n FROM (SELECT CASE WHEN k.h IS NULL THEN 'insert' WHEN s.h IS NULL THEN 'delete' WHEN s.h <> k.h THEN 'update' ELSE 'keep' END AS action FROM s FULL JOIN k USING (doc_id)) GROUP BY action""")
 def incremental_sync(spark, d):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators import graphs, iterate
+from quarry.operators import graphs, ingest, iterate
 from quarry.plans.frames import KINDS, PART_EDGES, kinds, part_edges
 from quarry.plans.registry import query
+from quarry.session import shared_dir
 from quarry.sources import symbolindex
 from quarry.sources.tables import table
 
@@ -175,10 +178,8 @@ def scenario_clone(spark, d):
 SYMBOL_LINES = "SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem"
 
 
-@query("symbol_index_relations", f"""WITH l AS ({SYMBOL_LINES})
-    SELECT DISTINCT 'o' || l_orderkey AS path, 'shop py shop 1 p' || l_partkey || 'n' || n || '().' AS source, 'calls' AS kind, 'shop py shop 1 s' || l_suppkey || '#' AS target FROM l""")
-def symbol_index_relations(spark, d):
-    """An order as a binary symbol index (a function a line that uses its supplier), decoded into relations."""
+def order_indexes(spark, d):
+    """path and content: an order as a binary symbol index."""
     table(spark, d, "lineitem").createOrReplaceTempView("lineitem_symbols")
     lines = spark.sql(SYMBOL_LINES.replace("FROM lineitem", "FROM lineitem_symbols"))
     files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "l_partkey", "l_suppkey"))).alias("own"))
@@ -188,7 +189,23 @@ def symbol_index_relations(spark, d):
         one = lambda k, rows: symbolindex.write_document(f"o{k}.py", [(f"shop py shop 1 p{r['l_partkey']}n{r['n']}().", 10 * r["n"], 5) for r in rows], [(f"shop py shop 1 s{r['l_suppkey']}#", 10 * r["n"] + 2, 8) for r in rows])
         return pd.Series([one(k, rows) for k, rows in zip(keys, own, strict=True)])
 
-    return symbolindex.relations(symbolindex.decode(files.select(F.concat(F.lit("o"), "l_orderkey").alias("path"), index("l_orderkey", "own").alias("content"))))
+    return files.select(F.concat(F.lit("o"), "l_orderkey").alias("path"), index("l_orderkey", "own").alias("content"))
+
+
+@query("symbol_index_relations", f"""WITH l AS ({SYMBOL_LINES})
+    SELECT DISTINCT 'o' || l_orderkey AS path, 'shop py shop 1 p' || l_partkey || 'n' || n || '().' AS source, 'calls' AS kind, 'shop py shop 1 s' || l_suppkey || '#' AS target FROM l""")
+def symbol_index_relations(spark, d):
+    """An order as a binary symbol index (a function a line that uses its supplier), decoded into relations."""
+    return symbolindex.relations(symbolindex.decode(order_indexes(spark, d)))
+
+
+@query("snapshot_ingest", f"""WITH l AS ({SYMBOL_LINES}), p AS (SELECT 'file:o' || l_orderkey || '.py' AS f, 'symbol:shop py shop 1 p' || l_partkey || 'n' || n || '().' AS s, 'symbol:shop py shop 1 s' || l_suppkey || '#' AS t FROM l)
+    SELECT DISTINCT f AS src, s AS dst, 'file_defines_symbol' AS kind FROM p UNION SELECT s, t, 'symbol_calls_symbol' FROM p""")
+def snapshot_ingest(spark, d):
+    """The edges of the graph that all orders' indexes give, published as a version of a scenario."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    ingest.ingest(spark, symbolindex.decode(order_indexes(spark, d)), path, "as is", 0)
+    return ingest.latest(spark, path, "edges", ingest.EDGE).select("src", "dst", "kind")
 
 
 @query("range_containment_join", """WITH r AS (SELECT l_orderkey AS range_id, l_partkey AS file, epoch(l_shipdate) // 86400 AS lo, epoch(l_shipdate) // 86400 + l_quantity AS hi FROM lineitem WHERE l_linenumber = 1), p AS (SELECT l_orderkey * 10 + l_linenumber AS point, l_partkey AS file, epoch(l_shipdate) // 86400 AS pt FROM lineitem WHERE l_linenumber = 2)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.scalars import crap, fingerprint, ratio, severity_rank
-from quarry.operators import changes
+from quarry.operators import changes, sketches, snapshots
+from quarry.operators.iterate import materialize
 from quarry.plans.frames import FILES, TOUCHES, files, touches
 from quarry.plans.registry import query
+from quarry.session import shared_dir
+from quarry.sources import complexity
 from quarry.sources.tables import table
 
 SINCE = "TIMESTAMP '2000-01-01'"
@@ -192,3 +197,32 @@ def rebuild_readiness(spark, d):
     s = f.agg(ratio(F.count("coverage"), F.count("*")).alias("cov"), (F.avg("complexity") / 8).alias("dens"), (F.count_if(F.col("loc") > 10) / F.count("*")).alias("ui"), F.count_if(F.col("complexity") > 14).alias("crit"))
     score = 0.35 * F.col("cov") + 0.25 * F.least(F.col("dens") / 2, F.lit(1.0)) + 0.25 * F.col("ui") + 0.15 * (1 - F.least(F.lit(1.0), F.col("crit") / 10))
     return s.select(F.floor(100 * score).cast("long").alias("score"))
+
+
+@query("snapshot_versions", """WITH c AS (SELECT p_brand AS container, p_type AS component, CAST(sum(p_size) AS BIGINT) AS churn FROM part GROUP BY ALL)
+    SELECT 'as is' AS scenario, 1 AS version, container, component, churn FROM c UNION ALL SELECT 'to be', 2, container, component, 2 * churn FROM c""")
+def snapshot_versions(spark, d):
+    """The evolution of all parts published for two scenarios, for one of them a second time over the first; the last versions."""
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    rows = materialize(table(spark, d, "part").groupBy(F.col("p_brand").alias("container"), F.col("p_type").alias("component")).agg(F.sum("p_size").alias("churn")))
+    snapshots.publish(rows, path, "as is", 0)
+    snapshots.publish(rows.withColumn("churn", 2 * F.col("churn")), path, "to be", snapshots.publish(rows, path, "to be", 0))
+    return snapshots.latest(spark, path, rows.schema)
+
+
+@query("sketch_rollup", """SELECT event_type, day, level, CAST(n AS BIGINT) AS n, n_distinct FROM (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 0 AS level, count(*) AS n, count(DISTINCT user_id) AS n_distinct FROM events GROUP BY 1, 2
+    UNION ALL SELECT event_type, NULL, 1, count(*), count(DISTINCT user_id) FROM events GROUP BY 1 UNION ALL SELECT NULL, NULL, 2, count(*), count(DISTINCT user_id) FROM events)""")
+def sketch_rollup(spark, d):
+    """Distinct users by type and day, by type and in all, from sketches that are stored once and merged (exact up to 65,536 a group)."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts").cast("string"))
+    base = materialize(sketches.sketched(e, ["event_type", "day"], "user_id", "value", lg=16))
+    return sketches.estimates(sketches.rolled_up(base, ["event_type", "day"], lg=16)).select("event_type", "day", "level", "n", "n_distinct")
+
+
+@query("code_metrics", "SELECT l_orderkey, CAST(1 + 4 * count(*) AS INTEGER) AS loc, CAST(count(*) AS INTEGER) AS n_functions, CAST(3 * count(*) AS DOUBLE) AS complexity FROM lineitem GROUP BY l_orderkey")
+def code_metrics(spark, d):
+    """Lines and complexity of an order written as a Python module with a branching function a line."""
+    body = F.concat(F.lit("def line_"), "l_linenumber", F.lit("(x):\n    if x > "), "l_partkey", F.lit(" and x:  # or\n        return 1\n    return 0\n"))
+    files = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("import shop\n\n"), F.array_join(F.collect_list(body), "\n")).alias("content"))
+    m = complexity.file_metrics(files.select(F.concat(F.lit("o"), "l_orderkey", F.lit(".py")).alias("path"), "content"))
+    return m.select(F.regexp_extract("path", r"o(-?\d+)", 1).cast("long").alias("l_orderkey"), "loc", "n_functions", "complexity")

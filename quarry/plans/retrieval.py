@@ -37,6 +37,43 @@ def hybrid_search(spark, d):
     return hits.select("id", F.col("fts_rank").cast("long"), F.col("vector_rank").cast("long"), "rrf_score")
 
 
+ALLOWED = "doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR source = 'src1'"
+
+
+@query("hybrid_search_allowed", f"""WITH ok AS (SELECT doc_id FROM documents WHERE {ALLOWED}),
+    {FTS.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT doc_id FROM ok))")}, {VEC.replace("vec_id <> 0)", "vec_id <> 0 AND vec_id IN (SELECT doc_id FROM ok))")}
+    SELECT id, fts_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS rrf_score FROM fts FULL JOIN vec USING (id)
+    ORDER BY rrf_score DESC, fts_rank ASC NULLS LAST, vector_rank ASC NULLS LAST, id LIMIT 20""")
+def hybrid_search_allowed(spark, d):
+    """Hybrid search of a user who may see labelled good documents and one source: the filter comes before the ranks."""
+    docs = table(spark, d, "documents")
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    ok = docs.where("source = 'src1'").select(F.col("doc_id").alias("id")).union(good)
+    hits = search.hybrid(docs, _vectors(spark, d), _query_vector(spark, d), ["the", "and"], allowed=ok)
+    return hits.select("id", F.col("fts_rank").cast("long"), F.col("vector_rank").cast("long"), "rrf_score")
+
+
+@query("relevant_communities", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
+    c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x, count(*) AS n FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i),
+    m AS (SELECT label, max(n) AS n_members, list(x ORDER BY i) AS e FROM c GROUP BY label)
+    SELECT community, n_members, round(relevance, 9) AS relevance, rank FROM (SELECT label AS community, n_members, list_cosine_similarity(e, q) AS relevance, row_number() OVER (ORDER BY list_cosine_similarity(e, q) DESC, label) AS rank FROM m, q) WHERE rank <= 5""")
+def relevant_communities(spark, d):
+    """The five communities (labels, by the mean of their vectors) most similar to a query vector."""
+    c = search.mean_vectors(table(spark, d, "embeddings"), "label").withColumnRenamed("label", "community")
+    return search.relevant_communities(c, _query_vector(spark, d), 5).select("community", "n_members", F.round("relevance", 9).alias("relevance"), F.col("rank").cast("long"))
+
+
+@query("search_nodes", """WITH h AS (SELECT url AS uri, page_id AS rank FROM pages), k AS (SELECT rank, uri AS natural_key FROM h UNION SELECT rank, regexp_replace(regexp_replace(uri, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/', ''), '[?#].*$', '') FROM h),
+    n AS (SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/', ''), '[?#].*$', '') END AS natural_key FROM pages)
+    SELECT id, min(rank) AS rank FROM k JOIN n USING (natural_key) GROUP BY id ORDER BY rank, id LIMIT 20""")
+def search_nodes(spark, d):
+    """Graph nodes of pages that search hits name by address or by path, the first twenty."""
+    p = table(spark, d, "pages")
+    path = F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/", ""), r"[?#].*$", "")
+    nodes = p.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(path).alias("natural_key"))
+    return search.search_nodes(p.select(F.col("url").alias("uri"), F.col("page_id").alias("rank")), nodes)
+
+
 @query("fts_topk", f"WITH {FTS} SELECT id, fts_rank FROM fts")
 def fts_topk(spark, d):
     return search.full_text(table(spark, d, "documents"), ["the", "and"]).select("id", F.col("fts_rank").cast("long"))
