@@ -157,13 +157,15 @@ def snapshot_diff(spark, d):
     return s.select("k", F.when(F.col("action") == "insert", "added").when(F.col("action") == "delete", "deleted").otherwise("changed").alias("change"))
 
 
-@query("eligible_files", "SELECT p_partkey, p FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_partkey || '.py' WHEN 1 THEN 'node_modules/' || p_partkey || '.js' WHEN 2 THEN 'docs/.x/' || p_partkey || '.md' ELSE 'lib/' || p_partkey || '.bin' END AS p FROM part) WHERE p_partkey % 4 = 0 AND p_size * 30000 <= 1000000")
+@query("eligible_files", """SELECT p_partkey, p FROM (SELECT p_partkey, p_size, CASE p_partkey % 8 WHEN 0 THEN 'src/' || p_partkey || '.py' WHEN 1 THEN 'node_modules/' || p_partkey || '.js' WHEN 2 THEN 'docs/.x/' || p_partkey || '.md' WHEN 3 THEN 'lib/' || p_partkey || '.bin'
+    WHEN 4 THEN '.github/' || p_partkey || '.yml' WHEN 5 THEN 'd' || p_partkey || '/Makefile' WHEN 6 THEN 'src/libs/' || p_partkey || '.php' ELSE 'a.md/' || p_partkey END AS p FROM part) WHERE p_partkey % 8 IN (0, 4, 5) AND p_size * 30000 <= 1048576""")
 def eligible_files(spark, d):
+    """Files to index of eight kinds: by suffix, name, hidden and skipped folders, a vendor folder of its own, and size."""
     k = F.col("p_partkey").cast("string")
-    m = F.col("p_partkey") % 4
-    path = F.when(m == 0, F.concat(F.lit("src/"), k, F.lit(".py"))).when(m == 1, F.concat(F.lit("node_modules/"), k, F.lit(".js"))).when(m == 2, F.concat(F.lit("docs/.x/"), k, F.lit(".md"))).otherwise(F.concat(F.lit("lib/"), k, F.lit(".bin")))
+    kinds = [("src/", ".py"), ("node_modules/", ".js"), ("docs/.x/", ".md"), ("lib/", ".bin"), (".github/", ".yml"), ("d", "/Makefile"), ("src/libs/", ".php"), ("a.md/", "")]
+    path = F.element_at(F.array(*(F.concat(F.lit(a), k, F.lit(b)) for a, b in kinds)), (F.col("p_partkey") % 8 + 1).cast("int"))
     p = table(spark, d, "part").select("p_partkey", path.alias("p"), (F.col("p_size") * 30000).alias("size"))
-    return p.where(reports.eligible(F.col("p"), F.col("size"))).select("p_partkey", "p")
+    return p.where(reports.eligible(F.col("p"), F.col("size"), vendored=F.array(F.lit("src/libs")))).select("p_partkey", "p")
 
 
 @query("path_canonicalization", "SELECT DISTINCT 'src/' || p_brand || '/' || p_type AS path FROM part")

@@ -109,10 +109,19 @@ def lsif(lines: DataFrame) -> DataFrame:
     return j.select(F.col("uri").alias("file"), F.col("start.line").alias("start_line"), F.col("start.character").alias("start_col"), F.col("end.line").alias("end_line"), F.col("end.character").alias("end_col"))
 
 
-def eligible(path: Column, size: Column, max_bytes: int = 1_000_000) -> Column:
-    """Whether a file is indexed: a known extension, not hidden, not vendored or generated, not too large."""
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    known = ext.isin("py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "kt", "rb", "php", "c", "h", "cpp", "cs", "sql", "md", "rst", "txt", "json", "yaml", "yml", "toml", "proto", "graphql")
-    parts = F.split(path, "/")
-    skipped = F.exists(parts, lambda p: p.startswith(".") | p.isin("node_modules", "vendor", "dist", "build", "target", "__pycache__", "venv", "third_party", "generated"))
-    return known & ~skipped & (size <= max_bytes)
+#: Suffixes and names of files that are indexed, and folders that are not.
+INDEXED = (
+    "md mdx rst txt adoc py js ts tsx jsx java go rs rb php c cpp h hpp cs swift kt scala sh bash zsh sql html css scss sass less json yaml yml toml xml graphql proto dockerfile"
+).split()
+NAMED = ("Dockerfile", "Makefile", "CMakeLists.txt", "README", "LICENSE", "CHANGELOG", "CONTRIBUTING")
+SKIPPED = ("node_modules", "vendor", "dist", "build", "__pycache__", "venv")
+SHOWN = (".github", ".gitlab")
+
+
+def eligible(path: Column, size: Column, max_bytes: int = 1 << 20, vendored: Column | None = None) -> Column:
+    """Whether a file is indexed: a known suffix or name, not hidden (but for SHOWN), not in a skipped folder or one of `vendored` (an array of paths), at most max_bytes (an unknown size counts as fitting)."""
+    name = F.element_at(F.split(path, "/"), -1)
+    known = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1)).isin(INDEXED) | name.isin(*NAMED)
+    skipped = F.exists(F.split(path, "/"), lambda p: (p.startswith(".") & ~p.isin(*SHOWN)) | p.isin(*SKIPPED))
+    within = F.lit(False) if vendored is None else F.coalesce(F.exists(vendored, lambda v: (path == v) | path.startswith(F.concat(F.rtrim(v, F.lit("/")), F.lit("/")))), F.lit(False))
+    return known & ~skipped & ~within & (size.isNull() | (size <= max_bytes))
