@@ -13,3 +13,12 @@ def spark():
     session = build_session("tests", 4, 4)
     yield session
     session.stop()
+
+
+@pytest.fixture
+def few_partitions(spark):
+    """Two shuffle partitions, for tests of many small rounds."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -3,8 +3,12 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from quarry.operators import iterate
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def plain(edges, start, goal, most):
     """Length and edges (hop, src, dst) of all shortest paths."""

@@ -9,6 +9,8 @@ import pytest
 from quarry.functions import stemming
 from quarry.operators import textindex
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 PAIRS = (
     "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall "
     "hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration valenci:valenc digitizer:digit conformabli:conform radicalli:radic "

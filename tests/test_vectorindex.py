@@ -5,6 +5,8 @@ import pytest
 
 from quarry.operators import vectorindex
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 SF = "/root/testdata/sf0.01"
 
 
