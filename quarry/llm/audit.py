@@ -48,7 +48,8 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask, and how many documents fall there: n, good, toxic."""
     rows = stage(failures(docs), "audit-rows")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    rows = rows.join(stage(first, "audit-first"), "digest", "left")  # a plain exchange on both sides: partitions of a hot text are split.withColumn("mask", F.col("mask") + F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0))
+    rows = rows.join(stage(first, "audit-first"), "digest", "left")  # a plain exchange on both sides: partitions of a hot text are split
+    rows = rows.withColumn("mask", F.col("mask") + F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0))
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     rows = rows.select("doc_id", "part", "mask").join(said, "doc_id", "left")
     return rows.groupBy("part", "mask").agg(F.count("*").alias("n"), F.sum(F.coalesce("good", F.lit(0))).alias("good"), F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic"))

@@ -197,3 +197,10 @@ def test_filter_audit_matches_brute_force(spark, odd):
     assert got == brute_audit(docs, labels)
     assert audit.audit(odd.limit(0), spark.createDataFrame(labels, LABELS)).collect() == []
     assert audit.audit(odd, spark.createDataFrame([], LABELS)).where("good_lost > 0 or toxic_lost > 0").count() == 0
+
+
+def test_filter_audit_counts_copies(spark):
+    """Filter E fails every copy but that of the least id, across parts."""
+    docs = spark.createDataFrame([(1, "one", "en"), (2, "two", "en"), (3, "one", "en"), (4, "one", "de")], "doc_id long, text string, lang string")
+    got = {r["part"]: (r["kept"], r["removed"]) for r in audit.audit(docs, spark.createDataFrame([], LABELS)).where("filter_order = 'EABCD' and step = 1").collect()}
+    assert got == {"en": (2, 1), "de": (0, 1)}
