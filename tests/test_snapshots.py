@@ -6,6 +6,7 @@ import random
 import pytest
 
 from quarry.operators import sketches, snapshots
+from quarry.plans import registry
 
 
 def files(path):
@@ -57,3 +58,14 @@ def test_merged_sketches_stay_within_their_bounds(spark):
         for q in (50, 95):
             rank = sum(v <= r[f"q{q}"] for v in values) / len(values)
             assert abs(rank - q / 100) < 0.02
+
+
+def test_sketch_rollup_is_exact_for_many_users(spark, tmp_path):
+    """More users than a theta sketch of 2**16 entries counts exactly; a null user counts as a row only."""
+    e = spark.range(70_000).selectExpr("id as user_id", "if(id % 7 = 0, 'view', 'click') as event_type", "timestamp_seconds(id % 2 * 86400) as ts", "1.0d as value")
+    e.union(e.limit(1).selectExpr("cast(null as long)", "'view'", "ts", "value")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["event_type"], r["day"]): (r["n"], r["n_distinct"]) for r in registry.QUERIES["sketch_rollup"](spark, str(tmp_path)).collect()}
+    assert got[None, None] == (70_001, 70_000) and got["view", None] == (10_001, 10_000) and got["click", None] == (60_000, 60_000)
+    assert sum(n for (_, day), (n, _) in got.items() if day) == 70_001
+    e.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in registry.QUERIES["sketch_rollup"](spark, str(tmp_path)).collect()] == [(None, None, 2, 0, 0)]
