@@ -29,6 +29,8 @@ from quarry.operators.iterate import materialize
 
 #: Rows of the sample that centres are fitted on, and rows of a block.
 SAMPLE, ROWS = 20_000, 2048
+#: Rows of a block where all pairs meet, and those multiplied at a time.
+WIDE, STRIP = 8192, 512
 
 
 def usable(points: DataFrame, id_col: str, vec_col: str, *keep: str) -> DataFrame:
@@ -72,9 +74,9 @@ def centres_of(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r["centre"] for r in rows])
 
 
-def in_blocks(homes: DataFrame, visitors: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with block numbers (h, v) so that every home meets every visitor of its key in one pair of blocks of about ROWS rows."""
-    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS).cast("int").alias(name))
+def in_blocks(homes: DataFrame, visitors: DataFrame, keys: list[str], size: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with block numbers (h, v) so that every home meets every visitor of its key in one pair of blocks of about `size` rows."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     grid = materialize(count(homes, "nh").join(count(visitors, "nv"), keys))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -147,4 +149,36 @@ def similar_pairs(points: DataFrame, threshold: float, cells: int, id_col: str =
     return homes.groupBy(*key).cogroup(visitors.groupBy(*key)).applyInPandas(meet, f"a {kind}, b {kind}")
 
 
+def nearest_distances(points: DataFrame, id_col: str, vec_col: str, block_col: str) -> DataFrame:
+    """id and dist: the least cosine distance to a row of another id in the same block. Rows without id, block or vector are left out; a vector of length 0 is at distance 1.
 
+    All pairs of a block are compared, as products of blocks of WIDE rows with each other, STRIP rows at a time; the nearest ones (ties within rounding) are
+    measured again in the order of their entries, so distances are those of `cosine` and the same from both sides.
+    """
+    known = F.col(id_col).isNotNull() & F.col(block_col).isNotNull() & F.coalesce(F.forall(vec_col, lambda x: x.isNotNull()), F.lit(False))
+    rows = points.where(known).select(F.col(id_col).alias("id"), F.col(block_col).alias("block"), F.col(vec_col).alias("vector"))
+    homes, visitors = in_blocks(rows, rows.select(*(F.col(c).alias(c) for c in rows.columns)), ["block"], WIDE)
+    kind = rows.schema["id"].dataType.simpleString()
+    inner = lambda x, y: np.cumsum(x * y, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+    def least(own: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(came):
+            x, y = (np.stack(t["vector"].to_numpy()).astype(float) for t in (came, own))
+            ids, others = came["id"].to_numpy(), own["id"].to_numpy()
+            nx, ny = np.sqrt(inner(x, x)), np.sqrt(inner(y, y))
+            unit = (y / np.maximum(ny, 1e-12)[:, None]).T
+            for a in range(0, len(x), STRIP):
+                like = x[a : a + STRIP] / np.maximum(nx[a : a + STRIP], 1e-12)[:, None] @ unit
+                like[ids[a : a + STRIP, None] == others[None, :]] = -np.inf
+                i, j = np.nonzero(like >= np.maximum(like.max(axis=1), -2)[:, None] - 1e-12)
+                for b in range(0, len(i), 1 << 16):
+                    p, q = i[b : b + (1 << 16)] + a, j[b : b + (1 << 16)]
+                    norms = nx[p] * ny[q]
+                    exact = np.where(norms > 1e-12, inner(x[p], y[q]) / np.maximum(norms, 1e-300), 0.0)
+                    out.append(pd.DataFrame({"id": ids[p], "dist": 1 - exact}).groupby("id", as_index=False).min())
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "dist": []})
+
+    key = ["block", "h", "v"]
+    met = homes.groupBy(*key).cogroup(visitors.groupBy(*key)).applyInPandas(least, f"id {kind}, dist double")
+    return met.groupBy("id").agg(F.min("dist").alias("dist"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.vectors import cosine, jaccard
 from quarry.operators import chunking, search, textindex, vectorindex
+from quarry.operators.iterate import materialize
 from quarry.plans.registry import query
 from quarry.session import shared_dir
 from quarry.sources.tables import table
@@ -231,11 +231,9 @@ def chunk_skip_reasons(spark, d):
     SELECT vec_id FROM p, t WHERE dist >= t""")
 def isolated_points(spark, d):
     """Nearest-neighbour distance within the label block at or above mean + 1.2 population deviations."""
-    s = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    t = s.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e2"))
-    near = s.join(t, "label").where("vec_id <> other").groupBy("vec_id").agg(F.min(1 - cosine(F.col("embedding"), F.col("e2"))).alias("dist"))
+    near = materialize(vectorindex.nearest_distances(table(spark, d, "embeddings"), "vec_id", "embedding", "label"))
     limit = near.agg((F.avg("dist") + 1.2 * F.stddev_pop("dist")).alias("t"))
-    return near.crossJoin(F.broadcast(limit)).where("dist >= t").select("vec_id")  # one row
+    return near.crossJoin(F.broadcast(limit)).where("dist >= t").select(F.col("id").alias("vec_id"))  # one row
 
 
 @query("semantic_duplicates", """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)

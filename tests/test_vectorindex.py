@@ -54,3 +54,19 @@ def test_recall_on_the_embeddings_and_exactness_of_all_cells(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     assert recall_of(spark, table, f"{tmp_path}/i", 16, 11)[0] >= 0.9
     assert recall_of(spark, table, f"{tmp_path}/j", 16, 16)[1]
+
+
+def test_nearest_distances_over_many_blocks(spark, monkeypatch):
+    """Every pair of a block is compared once it takes several blocks of rows; copies, zero vectors and odd rows included."""
+    monkeypatch.setattr(vectorindex, "WIDE", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(120)] + [(120, 0, [0.0] * 6), (121, 1, [2.0] * 6), (122, 1, [4.0] * 6), (123, 7, [1.0] * 6)]
+    frame = spark.createDataFrame([*rows, (None, 0, [1.0] * 6), (124, None, [1.0] * 6), (125, 0, None), (126, 0, [None] * 6)], "k long, b int, e array<float>")
+    want = {}
+    for i, b, v in rows:
+        for j, c, w in rows:
+            if i != j and b == c:
+                norm = sum(x * x for x in v) ** 0.5 * sum(x * x for x in w) ** 0.5
+                want[i] = min(want.get(i, 9.0), 1 - (sum(x * y for x, y in zip(v, w, strict=True)) / norm if norm > 1e-12 else 0.0))
+    got = {r["id"]: r["dist"] for r in vectorindex.nearest_distances(frame, "k", "e", "b").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-13 for k in want)
