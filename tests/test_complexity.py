@@ -67,3 +67,14 @@ def test_query_reads_every_order(spark):
     rows = registry.QUERIES["code_metrics"](spark, "/root/testdata/sf0.001").collect()
     orders = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().count()
     assert len(rows) == orders and all(r["complexity"] == 3 * r["n_functions"] for r in rows)
+
+
+def test_a_file_is_tokenised_once(monkeypatch):
+    runs = []
+    plain = complexity.tokens
+    monkeypatch.setattr(complexity, "tokens", lambda *a: runs.append(a) or plain(*a))
+    for path, text in (("a.py", PYTHON), ("a.js", JS), ("a.go", GO)):
+        runs.clear()
+        assert complexity.measured(path, text) is not None and len(runs) == 1
+        assert complexity.measured(path, text) == (complexity.lines_of_code(path, text), complexity.functions_of(path, text))
+    assert complexity.measured("a.txt", "x") is None
