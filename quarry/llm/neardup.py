@@ -11,7 +11,7 @@ below the next rank: after one visit for long texts. Batches of texts run throug
 Candidates: equal sets are one node, known by a hash of the set. Bands of `rows` positions give bucket keys, and the
 members of a bucket are compared as in `group_buckets`: first with one hub, then those in other components with their
 likeliest partners, until every two members share a component or were compared (signatures that agree too little rule a
-pair out).
+pair out, and so do marks, one bit a shingle, that differ in more places than the threshold allows).
 
 Verification: pairs are joined with the full sets and linked if 100 * |intersection| >= percent * |union|.
 
@@ -37,6 +37,8 @@ U = np.uint64
 BROADCAST_IDS = 2_000_000
 #: Fixed odd 64-bit multipliers.
 BYTE, MIX1, MIX2, STEP = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
+#: Longs of a set's marks: 1,024 bits tell sets of a few hundred shingles apart that are just below the threshold.
+MARKS = 16
 UNSET = U(0xFFFFFFFFFFFFFFFF)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -148,14 +150,17 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int, positions: int) ->
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """u and its shingle hashes, sorted, packed as 64-bit values, a row a document."""
+    """u, its shingle hashes, sorted, packed as 64-bit values, and marks: `MARKS` longs in which each shingle flips one bit. A row a document."""
 
     def f(part: pa.RecordBatch) -> dict:
         h, sizes = shingles(part.column("text"), words)
         ends = np.append(0, np.cumsum(sizes))
-        return set_hashes(h, sizes) | {"packed": [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]}
+        bits = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * (64 * MARKS) + (h % U(64 * MARKS)).astype(np.int64), minlength=len(sizes) * 64 * MARKS)
+        flat = np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+        marks = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * MARKS), pa.array(flat))
+        return set_hashes(h, sizes) | {"marks": marks, "packed": [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]}
 
-    return map_texts(docs, f, "n_shingles long, set_a long, set_b long, packed binary", ["doc_id"]).select(node(), "packed")
+    return map_texts(docs, f, "n_shingles long, set_a long, set_b long, marks array<long>, packed binary", ["doc_id"]).select(node(), "n_shingles", "marks", "packed")
 
 
 def verify(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
@@ -192,12 +197,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     few = ids.count() <= BROADCAST_IDS
     some = lambda cols: F.broadcast(cols) if few else cols
     wanted = docs.join(some(ids.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    packed = stage(sets(wanted, words).join(some(ids.select("u")), "u", "left_semi").groupBy("u").agg(F.first("packed").alias("packed")), "neardup-sets")
+    packed = stage(sets(wanted, words).join(some(ids.select("u")), "u", "left_semi").groupBy("u").agg(F.first(F.struct("n_shingles", "marks", "packed")).alias("x")).select("u", "x.*"), "neardup-sets")
 
     least = int((percent / 100 - slack) * positions)
     short = [F.col("short")[i].alias(f"s{i}") for i in range(positions // 8)]
-    signs = stage(nodes.join(some(ids.select("u")), "u", "left_semi").select("u", *short), "neardup-signs")
-    links, roots = group_buckets(entries, signs, lambda pairs: verify(pairs, packed, percent), least, "neardup")
+    marks = [F.col("marks")[i].alias(f"mark{i}") for i in range(MARKS)]
+    signs = nodes.select("u", *short).join(packed.select("u", F.col("n_shingles").alias("n"), *marks), "u")
+    links, roots = group_buckets(entries, signs, lambda pairs: verify(pairs, packed, percent), least, "neardup", percent)
     firsts = roots.join(ids, "u")
     label = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("u", "component_id")
     degree = links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
