@@ -45,17 +45,21 @@ def upper_percentile(df: DataFrame, value: str, p: float, by: list[str]) -> Data
     return ranked.where(F.col("i") == F.ceil((F.col("n") - 1) * p)).select(*by, F.col(value).alias("percentile"))
 
 
-def pairings(touches: DataFrame, entity: str, max_per_commit: int = 200) -> DataFrame:
+def pairings(touches: DataFrame, entity: str, max_per_commit: int = 200, parts: int | None = None) -> DataFrame:
     """Temporal coupling: (a, b, co, jaccard, ratio_a, ratio_b) of entities that change in the same commits.
 
     A commit pairs at most its max_per_commit entities with most churn, which bounds the pairs of a commit (the cap is the
-    measure's own definition); change counts take all commits.
+    measure's own definition); change counts take all commits. Pairs are made from a commit's sorted list, so commits are sorted
+    once and never joined with themselves. parts: of the shuffle by commit, where touches aren't dealt by commit already.
     """
+    touches = touches if parts is None else touches.repartition(parts, "commit")
     per = touches.groupBy("commit", entity).agg(F.sum("adds").alias("churn"))
     counts = per.groupBy(entity).agg(F.count("*").alias("n"))
     w = Window.partitionBy("commit").orderBy(F.desc("churn"), F.desc(entity))
-    capped = per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_per_commit).select("commit", F.col(entity).alias("a"))
-    pairs = capped.join(capped.select("commit", F.col("a").alias("b")), "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("co"))
+    capped = per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_per_commit)
+    lists = capped.where("commit is not null").groupBy("commit").agg(F.array_sort(F.collect_list(entity)).alias("x")).where("size(x) > 1")
+    later = lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = lists.select(F.explode(F.flatten(F.transform("x", later))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("co"))
     pairs = pairs.join(counts.select(F.col(entity).alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col(entity).alias("b"), F.col("n").alias("nb")), "b")
     return pairs.select("a", "b", "co", (F.col("co") / (F.col("na") + F.col("nb") - F.col("co"))).alias("jaccard"), (F.col("co") / F.col("na")).alias("ratio_a"), (F.col("co") / F.col("nb")).alias("ratio_b"))
 

@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from quarry.sources.tables import table
 
 
+#: Lines of orders that a task of a shuffle by commit takes, about.
+LINES = 500_000
+
+
+def commit_parts(spark: SparkSession, d: str) -> int:
+    """Tasks of a shuffle of all touches by commit: they grow with the lines, so a task's memory doesn't."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), table(spark, d, "lineitem").count() // LINES + 1)
+
+
 def touches(spark: SparkSession, d: str) -> DataFrame:
     """Files touched in commits: a part in an order; additions are the ordered quantity, the author is the customer."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("author"))
-    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file")).agg(F.sum("l_quantity").alias("adds"))  # noqa: E741
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"), "l_quantity").repartition(commit_parts(spark, d), "commit")  # noqa: E741
+    l = l.groupBy("commit", "file").agg(F.sum("l_quantity").alias("adds"))  # noqa: E741
     return l.join(o, "commit")
 
 

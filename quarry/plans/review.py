@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import graphs, iterate, review, search
-from quarry.plans.frames import KINDS, PART_EDGES, TOUCHES, FILES, files, kinds, part_edges, touches
+from quarry.plans.frames import KINDS, PART_EDGES, TOUCHES, FILES, commit_parts, files, kinds, part_edges, touches
 from quarry.plans.history import FIND, findings
 from quarry.plans.registry import query
 from quarry.sources.tables import table
@@ -157,7 +157,7 @@ def fitness_coupling_rule(spark, d):
     """Cross-boundary coupling findings by two thresholds."""
     from quarry.operators.changes import pairings
 
-    j = pairings(touches(spark, d).join(files(spark, d), "file"), "container").where("jaccard >= 0.07")
+    j = pairings(touches(spark, d).join(files(spark, d), "file"), "container", parts=commit_parts(spark, d)).where("jaccard >= 0.07")
     return j.select("a", "b", F.when(F.col("jaccard") >= 0.09, "high").otherwise("medium").alias("severity"))
 
 
