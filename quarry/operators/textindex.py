@@ -18,7 +18,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,25 +38,50 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id, term, tf, places and n_words, a row a term of each document. Texts without terms give none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "term", "tf", "places", "n_words"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, t in zip(batch["id"], batch["text"], strict=True):
-                places, n = analyze(t)
-                rows += [(i, term, len(p), p, n) for term, p in places.items()]
-                if len(rows) > 1 << 16:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, term string, tf int, places array<int>, n_words int")
+            held = Postings()
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                held.add(row, text)
+                if len(held.terms) > 1 << 16:
+                    yield held.batch(batch.column("id"))
+                    held = Postings()
+            yield held.batch(batch.column("id"))
+
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, term string, tf int, places array<int>, n_words int")
+
+
+class Postings:
+    """Rows of some texts as flat columns: places lie one after another, with the offset of each row."""
+
+    def __init__(self) -> None:
+        self.rows: list[int] = []
+        self.terms: list[str] = []
+        self.offsets: list[int] = [0]
+        self.places: list[int] = []
+        self.n_words: list[int] = []
+
+    def add(self, row: int, text: str) -> None:
+        found, n = analyze(text)
+        for own in found.values():
+            self.places += own
+            self.offsets.append(len(self.places))
+        self.terms += found
+        self.rows += [row] * len(found)
+        self.n_words += [n] * len(found)
+
+    def batch(self, ids: pa.Array) -> pa.RecordBatch:
+        offsets = np.array(self.offsets, np.int32)
+        columns = [ids.take(pa.array(self.rows, pa.int64())), pa.array(self.terms, pa.string()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(offsets, pa.array(self.places, pa.int32())), pa.array(self.n_words, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "term", "tf", "places", "n_words"])
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> None:
     """Write the index of docs to a new folder."""
-    rows = postings(docs, id_col, text_col).withColumn("bucket", bucket(F.col("term"), buckets))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few large row groups or sizes alone would give few tasks
+    texts = docs.select(id_col, text_col).repartition(parts, id_col)
+    rows = postings(texts, id_col, text_col).withColumn("bucket", bucket(F.col("term"), buckets))
+    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "id")
     dealt.write.partitionBy("bucket").parquet(path)
 
 

@@ -79,3 +79,10 @@ def test_a_query_reads_only_its_buckets(spark, index):
     assert len([x for x in os.listdir(path) if x.startswith("bucket=")]) > 3
     plan = textindex.read(spark, path, ["walk"], 8)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "EqualTo(term,walk)" in plan
+
+
+def test_texts_of_one_partition_are_indexed_by_several_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"walk tree{i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    textindex.build(docs, str(tmp_path / "i"), buckets=4)
+    assert len({f[:10] for _, _, files in os.walk(tmp_path) for f in files if f.startswith("part-")}) > 1
+    assert spark.read.parquet(str(tmp_path / "i")).count() == 100
