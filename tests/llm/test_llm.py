@@ -222,6 +222,15 @@ def test_html_drops_only_what_all_pages_share(spark):
     assert {r["page_id"]: r["text"] for r in html.extract_pages(pages, broadcast_bytes=0).collect()} == want
 
 
+def test_html_wrappers_come_from_all_pages_of_a_host(spark):
+    """Template text that only pages beyond the first eight of a host (by hash) have."""
+    ids = spark.range(30).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), F.col("id").cast("string")).alias("url"))
+    first = [r["page_id"] for r in ids.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(8).collect()]
+    rows = [(i, f"http://a/{i}", f"<body><section><h1>Title {i}</h1><p>Text {i}</section>{'' if i in first else '<div class=end><h4>All rights</h4></div>'}</body>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()} == {i: f"Title {i}\nText {i}" for i in range(30)}
+
+
 def test_chat_collapse(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (4, 0, "user", "ho"), (5, None, None, None), (None, 0, "user", "hi"), (6, 0, "user", "ho"), (6, 0, "user", "hoho")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("clash")).withColumn("t", F.lit("clash"))
